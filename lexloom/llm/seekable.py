@@ -45,7 +45,7 @@ class Writer:
 
         system, inner = _open(path)
         system.create_dir(inner.rpartition("/")[0], recursive=True)
-        self.out = system.open_output_stream(inner)
+        self.out = system.open_output_stream(inner, compression=None)
         self.compress = zstandard.ZstdCompressor(level=level).compress
         self.entries: list[bytes] = []
         self.keys: list[bytes] = []
