@@ -238,9 +238,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [shingles(t, rule.words) for t in batch.column(1).to_pylist()]
+            nodes, found = [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grams = shingles(text, rule.words)
+                if identity(grams) == node:  # another text may carry the same doc_id
+                    nodes.append(node)
+                    found.append(grams.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([g.tobytes() for g in found], pa.binary())], names=["node", "grams"]
+                [pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "grams"]
             )
 
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted

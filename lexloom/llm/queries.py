@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, packing, seekable, tokens
+from . import common, gru_language, packing, parity_join, seekable, string_kernel, tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -18,13 +18,40 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seekable.read_ids(spark, manifest)
 
 
+def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(common.remainder(F.col("doc_id"), 3) == 1, F.lit(False)))
+    net = gru_language.fit(docs.filter("not held_out"))
+    return gru_language.predict(docs, net, ["doc_id", "held_out"])
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(docs, tokens.vocabulary(BYTE_BPE), end_id=0)
 
 
+def op7_parity_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    return parity_join.link_components(docs, parity_join.Rule(words=4, num=85, den=100))
+
+
+def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = common.table(spark, sf_dir, "labels", "doc_id", "toxic")
+    machine = string_kernel.fit(docs, labels.filter(common.remainder(F.col("doc_id"), 5) != 0))
+    docs = docs.withColumn("held_out", F.coalesce(common.remainder(F.col("doc_id"), 5) == 0, F.lit(False)))
+    return string_kernel.predict(docs, machine, ["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op6_packing)}
+    found = (
+        op2_token_files,
+        op4_gru_language,
+        op6_packing,
+        op7_parity_jaccard_join,
+        op9_string_kernel_toxicity,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
