@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, gru_language, packing, parity_join, seekable, string_kernel, tokens
+from . import common, crf_pii, gru_language, packing, parity_join, prefix_bpe, seekable, string_kernel, tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_language.predict(docs, net, ["doc_id", "held_out"])
 
 
+def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
+    return prefix_bpe.digest(docs, tokens.vocabulary(WORD_BPE))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(docs, tokens.vocabulary(BYTE_BPE), end_id=0)
@@ -35,6 +41,10 @@ def op7_parity_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.link_components(docs, parity_join.Rule(words=4, num=85, den=100))
 
 
+def op8_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_pii.scan(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
     labels = common.table(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -47,8 +57,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op2_token_files,
         op4_gru_language,
+        op5_prefix_bpe,
         op6_packing,
         op7_parity_jaccard_join,
+        op8_crf_personal_data,
         op9_string_kernel_toxicity,
     )
     return {f.__name__: f for f in found}
