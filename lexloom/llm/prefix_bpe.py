@@ -98,15 +98,13 @@ class PrefixEncoder:
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """(token, rank of the merge that took it away) along one edge, latest first."""
         memo = (self.left, self.right)[side]
-        if token not in memo:
-            found, gone = [], 1 << 60
-            while True:
-                found.append((token, gone))
-                if token not in self.parts:
-                    break
+        found = memo.get(token)
+        if found is None:
+            found = memo[token] = [(token, 1 << 60)]
+            while token in self.parts:
                 gone, token = self.born[token], self.parts[token][side]
-            memo[found[0][0]] = found
-        return memo[token] if token in memo else found
+                found.append((token, gone))
+        return found
 
     def compatible(self, one: int, two: int) -> bool:
         """Whether merging the two tokens' joined string leaves these two."""
@@ -115,16 +113,19 @@ class PrefixEncoder:
         if known is None:
             if len(self.pairs) > MEMO_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self._meet(self._spine(one, 1), self._spine(two, 0))
+            known = self.pairs[key] = self._meet(one, two)
         return known
 
-    def _meet(self, ends: list[tuple[int, int]], starts: list[tuple[int, int]]) -> bool:
+    def _meet(self, one: int, two: int, joined: bool = False) -> bool:
+        """Whether no pair at the border of two tokens merges before they are whole
+        (or ever, unless they are joined at last)."""
+        ends, starts = self._spine(one, 1), self._spine(two, 0)
         i = j = 0
         while True:
             (a, a_gone), (b, b_gone) = ends[i], starts[j]
             r = self.rank.get((a, b))
             # of equal ranks the left merge comes first
-            if r is not None and r < a_gone and r <= b_gone:
+            if r is not None and r < a_gone and r <= b_gone and (i or j or not joined):
                 return False
             a_born, b_born = self.born[a], self.born[b]
             if a_born < 0 and b_born < 0:
@@ -141,28 +142,11 @@ class PrefixEncoder:
             t = stack.pop()
             if t in self.parts:
                 a, b = self.parts[t]
-                if not self._meet_below(a, b, self.born[t]):
+                if not self._meet(a, b, joined=True):
                     return False
                 stack += (a, b)
         return True
 
-    def _meet_below(self, a: int, b: int, rank: int) -> bool:
-        """Whether no pair at the border of a and b merges before they are whole."""
-        ends, starts = self._spine(a, 1), self._spine(b, 0)
-        i = j = 0
-        while True:
-            (x, x_gone), (y, y_gone) = ends[i], starts[j]
-            r = self.rank.get((x, y))
-            if (i or j) and r is not None and r < x_gone and r <= y_gone:
-                return False
-            x_born, y_born = self.born[x], self.born[y]
-            if x_born < 0 and y_born < 0:
-                return True
-            if x_born > y_born:
-                i += 1
-            else:
-                j += 1
-
     def encode_symbols(self, word: str) -> list[int]:
         """Ids of one word of symbols, by its prefixes' last tokens."""
         last = [None] * len(word)
