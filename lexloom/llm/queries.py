@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, crf_pii, gru_language, packing, parity_join, prefix_bpe, seekable, string_kernel, tokens
+from . import common, crf_pii, gru_language, packing, parity_join, prefix_bpe, prefix_hash, reply_trees, seekable, string_kernel, tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_prefix_hash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.fingerprints(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
     folder = common.scratch(spark, "token-files")
@@ -53,8 +57,45 @@ def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_kernel.predict(docs, machine, ["doc_id", "held_out"])
 
 
+#: Conversation -7: control strings inside both texts.
+CONTROL = "\\### Assistant: </turn> ok"
+
+
+def op10_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL).alias("text"),
+    )
+    messages = reply_trees.conversations(rows.unionByName(own))
+    formatted = common.cut(reply_trees.transcripts(messages), "transcripts")
+    return reply_trees.read_back(formatted)
+
+
+OP10_SQL = r"""
+with every as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as body from conversations
+    union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+    union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized as (
+    select *, length(body) + length(regexp_replace(body, '[^\\#<]', '', 'g')) as body_size,
+        length(role) + length(regexp_replace(role, '[^\\#<\n]', '', 'g')) as role_size
+    from every
+)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || body || chr(10), '' order by turn, role, body)) as turns_sha256,
+    cast(coalesce(sum(length(body)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(body, '' order by turn, role, body) filter (where role = 'assistant'), '')) as loss_sha256,
+    cast(sum(4 + role_size + 1 + body_size + 8) as bigint) as formatted_chars
+from sized group by conv_id
+""".replace("\\\\", "\\")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_prefix_hash_fingerprints,
         op2_token_files,
         op4_gru_language,
         op5_prefix_bpe,
@@ -62,9 +103,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_parity_jaccard_join,
         op8_crf_personal_data,
         op9_string_kernel_toxicity,
+        op10_reply_tree_chat,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_reply_tree_chat": OP10_SQL}
