@@ -43,6 +43,14 @@ def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a table that cut() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remainder(doc_id, modulus: int):
     """crc32 of the id as text, modulo the given number (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -37,7 +37,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,12 +51,12 @@ SPARE = 2
 BAND = 1.5
 #: Rows of doc_ids that may be broadcast (16 bytes each); above it they are shuffled.
 BROADCAST_ROWS = 500_000
+#: Classes that are compared with a pivot in one place.
+PER_PIVOT = 512
 #: Words whose hash a worker keeps, and classes a task remembers to have emitted.
 MEMO_WORDS = 1_000_000
 
-_WORDS = re.compile(r"[^\x20\x09-\x0d]+")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_MEMO: dict[str, int] = {}
+_MEMO: dict[bytes, int] = {}
 _U = np.uint64
 # Fixed odd multipliers of the public SplitMix64 mixer.
 _M1, _M2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -87,7 +86,8 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
     import xxhash
 
-    found = _WORDS.findall((text or "").translate(_UPPER) if not (text or "").isascii() else text.lower())
+    # Over bytes, lower() and split() know A-Z and the six ASCII white spaces only.
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.empty(0, np.uint64)
     if len(_MEMO) > MEMO_WORDS:
@@ -99,11 +99,15 @@ def shingles(text: str | None, words: int) -> np.ndarray:
             _MEMO[w] = xxhash.xxh64_intdigest(w)
         each = list(map(_MEMO.__getitem__, found))
     h = np.array(each, np.uint64)
-    n = max(1, len(h) - words + 1)
-    out = np.full(n, min(words, len(h)), np.uint64)
-    for k in range(min(words, len(h))):
-        out = mix(out ^ h[k : k + n])
-    return np.unique(out)
+    size = min(words, len(h))
+    n = len(h) - size + 1
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out *= _M1
+        out += h[k : k + n]
+    out = mix(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def identity(grams: np.ndarray) -> int:
@@ -233,43 +237,57 @@ def _groups(docs: DataFrame, rule: Rule) -> DataFrame:
     return emitted.repartition(parts, "key").mapInArrow(gather, "key long, pivot long, node long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """node, grams (sorted uint64 bytes) of one document per wanted class."""
+def _verify(pairs: DataFrame, named: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (pivot, node) that are links.
 
-    def run(batches):
+    Every text asked for is read once more; its set goes to the pivot it is compared
+    with. A pivot's own set goes to as many salted places as its nodes need.
+    """
+    counts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PER_PIVOT).alias("places"))
+    salt = F.pmod(F.xxhash64("node"), F.col("places")).alias("salt")
+    nodes = pairs.join(counts, "pivot").select("node", "pivot", salt, F.lit(1).alias("part"))
+    heads = counts.select(
+        F.col("pivot").alias("node"),
+        "pivot",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("salt"),
+        F.lit(0).alias("part"),
+    )
+    asked = common.cut(nodes.unionByName(heads).join(named, "node"), "asked")
+
+    def sets(batches):
         for batch in batches:
-            nodes, found = [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams = shingles(text, rule.words)
-                if identity(grams) == node:  # another text may carry the same doc_id
-                    nodes.append(node)
+            last, grams, own, keep, found = None, None, None, [], []
+            for k, (text, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if grams is None or text != last:
+                    last, grams = text, shingles(text, rule.words)
+                    own = identity(grams)
+                if own == node:  # another text may carry the same doc_id
+                    keep.append(k)
                     found.append(grams.tobytes())
+            rows = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["node", "grams"]
+                [*rows.columns[1:], pa.array(found, pa.binary())], names=["node", "pivot", "salt", "part", "grams"]
             )
 
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return docs.join(side, "doc_id").select("node", "text").mapInArrow(run, "node long, grams binary")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (pivot, node) that are links."""
-
-    def run(batches):
+    def compare(batches):
+        head, held = None, None
         for batch in batches:
-            keep = [
-                linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), rule)
-                for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
+            pivots, nodes = [], []
+            for node, pivot, salt, part, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                if part == 0:
+                    head, held = (pivot, salt), np.frombuffer(grams, np.uint64)
+                elif head == (pivot, salt) and linked(held, np.frombuffer(grams, np.uint64), rule):
+                    pivots.append(pivot)
+                    nodes.append(node)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))],
-                names=["pivot", "node"],
+                [pa.array(pivots, pa.int64()), pa.array(nodes, pa.int64())], names=["pivot", "node"]
             )
 
-    one = sets.select("node", F.col("grams").alias("node_grams"))
-    other = sets.select(F.col("node").alias("pivot"), F.col("grams").alias("pivot_grams"))
-    joined = pairs.join(one.hint("merge"), "node").join(other.hint("merge"), "pivot")
-    return joined.select("pivot", "node", "pivot_grams", "node_grams").mapInArrow(run, "pivot long, node long")
+    side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    rows = docs.join(side, "doc_id").select("text", "node", "pivot", "salt", "part")
+    shape = "node long, pivot long, salt long, part int, grams binary"
+    dealt = rows.mapInArrow(sets, shape).repartition(common.partitions(docs.sparkSession), "pivot", "salt")
+    return dealt.sortWithinPartitions("pivot", "salt", "part").mapInArrow(compare, "pivot long, node long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -300,41 +318,48 @@ def components(links: DataFrame) -> DataFrame:
 def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
     rows = common.cut(classes(docs, rule), "classes")
     named = rows.filter("node >= 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    known = named.filter("doc_id is not null")
     groups = common.cut(_groups(docs, rule), "groups")
-    members = groups.select("node").union(groups.select("pivot")).distinct()
-    wanted = common.cut(named.filter("doc_id is not null").join(members, "node", "left_semi"), "wanted")
-    labels = None
-    if not wanted.isEmpty():
-        keyed = common.cut(_sets(docs, wanted, rule).dropDuplicates(["node"]), "sets")
-        pairs = groups.select("pivot", "node").distinct()
-        links = common.cut(_verify(pairs, keyed, rule), "verified")
-        tried = groups.select("key", F.col("pivot").alias("done")).distinct()
-        pivots = 1
-        while not links.isEmpty() or pivots == 1:
+    pairs = common.cut(groups.groupBy("pivot", "node").agg(F.count("*").alias("shared")), "pairs")
+    # First each class with the pivot it shares most keys with; most of the other
+    # pairs then lie within one component and need no comparing.
+    first = pairs.groupBy("node").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
+    links = common.cut(_verify(first.select("pivot", "node"), known, docs, rule), "links")
+    labels = components(links)
+    rest = pairs.select("pivot", "node").join(first, ["pivot", "node"], "left_anti")
+    tried = None
+    pivots = 1
+    while True:
+        fresh = common.cut(_apart(rest, labels), "apart")
+        if not fresh.isEmpty():
+            links = common.cut(links.union(_verify(fresh, known, docs, rule)), "links")
             labels = components(links)
-            open_groups = _open(groups, tried, labels)
-            if open_groups is None:
-                break
-            pivots *= 4
-            chosen = _pivots(open_groups, pivots)
-            fresh = _cross(open_groups, chosen)
-            more = common.cut(_verify(fresh, keyed, rule), "verified")
-            tried = common.cut(tried.union(chosen.select("key", F.col("pivot").alias("done"))).distinct(), "tried")
-            links = common.cut(links.union(more), "links")
-    found = named
-    if labels is not None:
-        found = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        best = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        found = found.join(best, "label").select("node", "component_id")
-    else:
-        found = named.select("node", F.col("doc_id").alias("component_id"))
+        if tried is None:
+            tried = common.cut(groups.select("key", F.col("pivot").alias("done")).distinct(), "tried")
+        open_groups = _open(groups, tried, labels)
+        if open_groups is None:
+            break
+        pivots *= 4
+        chosen = _pivots(open_groups, pivots)
+        rest = _cross(open_groups, chosen)
+        tried = common.cut(tried.union(chosen.select("key", F.col("pivot").alias("done"))).distinct(), "tried")
+    found = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    best = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    found = found.join(best, "label").select("node", "component_id")
     alone = rows.filter("node < 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.filter("node >= 0").join(found, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose classes aren't yet in one component."""
+    one = labels.select("node", F.col("label").alias("one"))
+    other = labels.select(F.col("node").alias("pivot"), F.col("label").alias("other"))
+    joined = pairs.join(one, "node", "left").join(other, "pivot", "left")
+    return joined.filter(F.coalesce("one", "node") != F.coalesce("other", "pivot")).select("pivot", "node")
+
+
 def _open(groups: DataFrame, tried: DataFrame, labels: DataFrame) -> DataFrame | None:
     """key, node, label of the members never used as pivots, in groups of several components."""
     everyone = groups.select("key", "node").union(groups.select("key", "pivot")).distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, crf_pii, gru_language, packing, parity_join, prefix_bpe, prefix_hash, reply_trees, seekable, string_kernel, tokens
+from . import common, crf_pii, graph_search, gru_language, packing, parity_join, prefix_bpe, prefix_hash, reply_trees, seekable, string_kernel, tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -23,6 +23,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seekable.read_ids(spark, manifest)
 
 
+def op3_graph_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return graph_search.nearest(vectors, F.col("vec_id") % 20 == 0, most=20)
+
+
 def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     docs = docs.withColumn("held_out", F.coalesce(common.remainder(F.col("doc_id"), 3) == 1, F.lit(False)))
@@ -90,13 +95,14 @@ select conv_id, count(*) as n_turns,
     sha256(coalesce(string_agg(body, '' order by turn, role, body) filter (where role = 'assistant'), '')) as loss_sha256,
     cast(sum(4 + role_size + 1 + body_size + 8) as bigint) as formatted_chars
 from sized group by conv_id
-""".replace("\\\\", "\\")
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_prefix_hash_fingerprints,
         op2_token_files,
+        op3_graph_nearest,
         op4_gru_language,
         op5_prefix_bpe,
         op6_packing,
