@@ -62,16 +62,15 @@ def pointers(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             F.col("depth").alias("more"),
             F.col("score").alias("add"),
         )
-        step = common.cut(
-            step.join(above, ["tree", "up"], "left").select(
-                "tree",
-                "node",
-                F.col("next").alias("up"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.col("score") + F.coalesce("add", F.lit(0.0))).alias("score"),
-            ),
-            "replies",
+        # Only messages still below their root take part; short trees drop out early.
+        moved = step.filter("up is not null").join(above, ["tree", "up"]).select(
+            "tree",
+            "node",
+            F.col("next").alias("up"),
+            (F.col("depth") + F.col("more")).alias("depth"),
+            (F.col("score") + F.col("add")).alias("score"),
         )
+        step = common.cut(step.filter("up is null").unionByName(moved), "replies")
     return levels, step.select("tree", "node", "depth", "score")
 
 
