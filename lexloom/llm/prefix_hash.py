@@ -166,7 +166,7 @@ def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
     """target, own, doc_id, text: each row in its range, firsts in the range before too."""
     ids = docs.select("doc_id")
     shares = [k / ranges for k in range(1, ranges)]
-    bounds = sorted(set(ids.na.drop().approxQuantile("doc_id", shares, 0.2 / ranges))) if shares else []
+    bounds = sorted(set(ids.na.drop().approxQuantile("doc_id", shares, 0.5 / ranges))) if shares else []
     edges = np.array(bounds, np.float64)
 
     def place(keys) -> np.ndarray:
@@ -214,7 +214,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """See SCHEMA; common_prefix is what text and edited text share from the start."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = common.partitions(docs.sparkSession)
-    dealt = _dealt(docs, 2 * parts)
+    dealt = _dealt(docs, 8 * parts)
     # Within a range: own rows in order, then the following range's first.
     streams = dealt.repartition(parts, "target").sortWithinPartitions("target", F.desc("own"), "doc_id", "text")
 
