@@ -266,15 +266,16 @@ def _reversed(edges: DataFrame, slots: int) -> DataFrame:
 
 def _keyed(pairs: DataFrame, by: str, blocks: int) -> DataFrame:
     """The pairs with the block of one side."""
-    at = pairs.columns.index(by)
+    names = pairs.columns
+    at = names.index(by)
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block_of(_ints(batch.column(at)), blocks)), *batch.columns], names=["blk", *pairs.columns]
+                [pa.array(block_of(_ints(batch.column(at)), blocks)), *batch.columns], names=["blk", *names]
             )
 
-    return pairs.mapInArrow(run, "blk long, " + ", ".join(f"{c} long" for c in pairs.columns))
+    return pairs.mapInArrow(run, "blk long, " + ", ".join(f"{c} long" for c in names))
 
 
 def _descend(graph: DataFrame, plan: Plan, blocks: int) -> DataFrame:
