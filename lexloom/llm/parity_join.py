@@ -17,15 +17,19 @@ one equal segment at least isn't empty. If both have more, both emit them.)
 Sizes are cut into bands; a set emits keys for its own band, and, if it is
 large enough to link to a set of the next band, with that band's m too.
 
-Equal sets are one class from the start, so copies are never paired. In a group
-of classes with an equal key every class is compared with one pivot only; the
-pairs are made distinct over all groups and verified exactly. Where some class
-of a group isn't yet connected with the rest, further pivots follow, more each
-round, until each class has been compared with every class that is not in its
-component. No group's pairs are listed when links already connect it.
-
-Only (key, class) rows are shuffled for the search, 16 bytes each; the texts of
-candidate classes are read again for verifying. Components come from iterated
+Equal sets are one class from the start, so copies are never paired, and groups
+of classes that share a key are kept once where several keys gather the same.
+Within a group the classes' whole-set parity sketches (about four bits a shingle,
+folded to one length) are compared; a pair whose Hamming distance is over D can't
+be linked. First only a forest of the remaining pairs is verified on the sets
+themselves, one pair for each two parts of a group that it would join. Then the
+pairs whose classes are still in different components follow. No group's pairs
+are listed when links already connect it. Groups over GROUP_MOST classes are cut
+to blocks by hash: first each block with the group's smallest class, later, if
+the group isn't one component, each two blocks.
+
+Only (key, class) rows are shuffled for the search, 16 bytes each, and sketches of
+classes that share a key; the texts of pairs to verify are read once more. Components come from iterated
 minimum labels with pointer jumping.
 
 Null or wordless texts have an empty set and link with nothing. Texts of fewer
@@ -51,6 +55,10 @@ SPARE = 2
 BAND = 1.5
 #: Rows of doc_ids that may be broadcast (16 bytes each); above it they are shuffled.
 BROADCAST_ROWS = 500_000
+#: Classes of a group that are compared in one task, bits of a class's sketch for
+#: each shingle (to the next power of two), and at least.
+GROUP_MOST = 4096
+SKETCH_BITS, SKETCH_LEAST = 4, 64
 #: Classes that are compared with a pivot in one place.
 PER_PIVOT = 512
 #: Words whose hash a worker keeps, and classes a task remembers to have emitted.
@@ -151,6 +159,30 @@ def sketch(grams: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np
     return at[first], np.bitwise_xor.reduceat(bits, first), np.bitwise_xor.reduceat(mixed, first)
 
 
+def parity(grams: np.ndarray) -> bytes:
+    """The whole set's parity sketch, its length a power of two of bits."""
+    bits = max(SKETCH_LEAST, 1 << (SKETCH_BITS * len(grams) - 1).bit_length())
+    count = np.bincount((mix(grams) & _U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(sketch_bytes: bytes, words: int) -> np.ndarray:
+    """A parity sketch brought to so many 64-bit words: halves are XORed."""
+    found = np.frombuffer(sketch_bytes, np.uint64)
+    while len(found) > words:
+        found = found[: len(found) // 2] ^ found[len(found) // 2 :]
+    return found
+
+
+def near(sketches: np.ndarray, sizes: np.ndarray, k: int, others: np.ndarray, rule: Rule) -> np.ndarray:
+    """Which of the others the sketches and sizes allow to link to class k, and how far they are."""
+    far = np.bitwise_count(sketches[others] ^ sketches[k]).sum(1, dtype=np.int64)
+    both = sizes[others] + sizes[k]
+    low, high = np.minimum(sizes[others], sizes[k]), np.maximum(sizes[others], sizes[k])
+    allowed = (far * (rule.den + rule.num) <= (rule.den - rule.num) * both) & (low * rule.den >= rule.num * high)
+    return np.where(allowed, far, -1)
+
+
 def keys(grams: np.ndarray, rule: Rule) -> np.ndarray:
     """All join keys of a set, each a hash of band, segment, word and XOR."""
     out = []
@@ -174,25 +206,27 @@ def linked(a: np.ndarray, b: np.ndarray, rule: Rule) -> bool:
 
 
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, node: equal sets have equal nodes, empty ones -1."""
+    """doc_id, n_shingles, node, sketch: equal sets have equal nodes, empty ones -1."""
 
     def run(batches):
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, sketches = [], [], []
             for text in batch.column(1).to_pylist():
                 grams = shingles(text, rule.words)
                 sizes.append(len(grams))
                 nodes.append(identity(grams))
+                sketches.append(parity(grams) if len(grams) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())],
-                names=["doc_id", "n_shingles", "node"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())],
+                names=["doc_id", "n_shingles", "node", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    shape = "doc_id long, n_shingles long, node long, sketch binary"
+    return docs.select("doc_id", "text").mapInArrow(run, shape)
 
 
 def _groups(docs: DataFrame, rule: Rule) -> DataFrame:
-    """key, pivot, node: members of each group of classes that share a key, but the pivot."""
+    """key, node: the members of each group of classes that share a key, equal groups once."""
 
     def emit(batches):
         seen: set[int] = set()
@@ -224,17 +258,59 @@ def _groups(docs: DataFrame, rule: Rule) -> DataFrame:
         del parts
         order = np.lexsort((node, key))
         key, node = key[order], node[order]
-        new_key = np.r_[True, key[1:] != key[:-1]]
-        start = np.maximum.accumulate(np.where(new_key, np.arange(len(key)), 0))
-        later = ~new_key & np.r_[True, node[1:] != node[:-1]]
+        once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        key, node = key[once], node[once]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        # A group's name: the sum of its members' mixed names.
+        names = np.add.reduceat(mix(node.view(np.uint64)), starts).view(np.int64)
+        keep = sizes > 1
+        keep[keep] &= np.isin(np.arange(keep.sum()), np.unique(names[keep], return_index=True)[1])
+        rows = np.repeat(keep, sizes)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key[later]), pa.array(node[start][later]), pa.array(node[later])],
-            names=["key", "pivot", "node"],
+            [pa.array(np.repeat(names, sizes)[rows]), pa.array(node[rows])], names=["key", "node"]
         )
 
     parts = common.partitions(docs.sparkSession)
     emitted = docs.select("text").mapInArrow(emit, "key long, node long")
-    return emitted.repartition(parts, "key").mapInArrow(gather, "key long, pivot long, node long")
+    return emitted.repartition(parts, "key").mapInArrow(gather, "key long, node long").distinct()
+
+
+def _forest(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
+    """Pairs (pivot, node) of classes in one place that their sketches let link.
+
+    Columns of members: place, other (a number for each task of a group), node, label,
+    n_shingles, sketch. Only pairs of different labels; if not every one, then one
+    for each two parts of the place that they join.
+    """
+
+    def run(table):
+        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+        order = np.lexsort((node,))
+        order = order[np.r_[True, node[order][1:] != node[order][:-1]]]
+        node, label, sizes = node[order], label[order], table.column("n_shingles").to_numpy()[order]
+        raw = table.column("sketch").to_pylist()
+        words = min(len(raw[k]) for k in order) // 8
+        sketches = np.stack([fold(raw[k], words) for k in order])
+        part = np.unique(label, return_inverse=True)[1]
+        pivots, nodes = [], []
+        for k in range(1, len(node)):
+            others = np.flatnonzero(part[:k] != part[k])
+            if not len(others):
+                continue
+            far = near(sketches, sizes, k, others, rule)
+            others, far = others[far >= 0], far[far >= 0]
+            if not every and len(others):
+                others = others[np.lexsort((others, far))]
+                joined, first = np.unique(part[others], return_index=True)
+                others = others[first]
+                part[np.isin(part, joined)] = part[k]
+            pivots.append(node[others])
+            nodes.append(np.full(len(others), node[k]))
+        columns = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (pivots, nodes)]
+        return pa.table([pa.array(c) for c in columns], names=["pivot", "node"])
+
+    return members.groupBy("place", "other").applyInArrow(run, "pivot long, node long").distinct()
 
 
 def _verify(pairs: DataFrame, named: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -319,32 +395,22 @@ def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = common.cut(classes(docs, rule), "classes")
-    named = rows.filter("node >= 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sets = rows.filter("node >= 0").groupBy("node")
+    named = sets.agg(F.min("doc_id").alias("doc_id"))
     known = named.filter("doc_id is not null")
+    sketches = sets.agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     groups = common.cut(_groups(docs, rule), "groups")
-    pairs = common.cut(groups.groupBy("pivot", "node").agg(F.count("*").alias("shared")), "pairs")
-    # First each class with the pivot it shares most keys with; most of the other
-    # pairs then lie within one component and need no comparing.
-    first = pairs.groupBy("node").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("pivot"))
-    links = common.cut(_verify(first.select("pivot", "node"), known, docs, rule), "links")
+    own = groups.withColumn("label", F.col("node"))
+    tried = common.cut(_forest(_places(own, sketches, False), rule, every=False), "pairs")
+    links = common.cut(_verify(tried, known, docs, rule), "links")
     labels = components(links)
-    rest = pairs.select("pivot", "node").join(first, ["pivot", "node"], "left_anti")
-    tried = None
-    pivots = 1
-    while True:
-        fresh = common.cut(_apart(rest, labels), "apart")
-        if not fresh.isEmpty():
-            links = common.cut(links.union(_verify(fresh, known, docs, rule)), "links")
+    apart = common.cut(_apart(groups, labels), "apart")
+    if not apart.isEmpty():
+        more = _forest(_places(apart, sketches, True), rule, every=True)
+        more = common.cut(more.join(tried, ["pivot", "node"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links = common.cut(links.union(_verify(more, known, docs, rule)), "links")
             labels = components(links)
-        if tried is None:
-            tried = common.cut(groups.select("key", F.col("pivot").alias("done")).distinct(), "tried")
-        open_groups = _open(groups, tried, labels)
-        if open_groups is None:
-            break
-        pivots *= 4
-        chosen = _pivots(open_groups, pivots)
-        rest = _cross(open_groups, chosen)
-        tried = common.cut(tried.union(chosen.select("key", F.col("pivot").alias("done"))).distinct(), "tried")
     found = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     found = found.join(best, "label").select("node", "component_id")
@@ -352,36 +418,52 @@ def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
     return rows.filter("node >= 0").join(found, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose classes aren't yet in one component."""
-    one = labels.select("node", F.col("label").alias("one"))
-    other = labels.select(F.col("node").alias("pivot"), F.col("label").alias("other"))
-    joined = pairs.join(one, "node", "left").join(other, "pivot", "left")
-    return joined.filter(F.coalesce("one", "node") != F.coalesce("other", "pivot")).select("pivot", "node")
-
+def _places(groups: DataFrame, sketches: DataFrame, crossed: bool) -> DataFrame:
+    """The groups' members with sketches, dealt to tasks: `place` and `other`."""
+    sizes = groups.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least"))
+    large = sizes.filter(F.col("size") > GROUP_MOST).withColumn("blocks", F.ceil(F.col("size") / (GROUP_MOST // 2)))
+    dealt = groups.join(large, "key", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    all_blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    if crossed:
+        low, high = F.least("block", F.col("x")), F.greatest("block", F.col("x"))
+        spread = dealt.filter("blocks is not null").withColumn("x", F.explode(all_blocks))
+        spread = spread.withColumn("other", low * F.col("blocks") + high)
+    else:
+        spread = dealt.filter("blocks is not null").withColumn(
+            "other", F.explode(F.when(F.col("node") == F.col("least"), all_blocks).otherwise(F.array("block")))
+        )
+    small = dealt.filter("blocks is null").withColumn("other", F.lit(0).cast("long"))
+    columns = [F.col("key").alias("place"), "other", "node", "label"]
+    return small.select(*columns).unionByName(spread.select(*columns)).join(sketches, "node")
 
-def _open(groups: DataFrame, tried: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """key, node, label of the members never used as pivots, in groups of several components."""
-    everyone = groups.select("key", "node").union(groups.select("key", "pivot")).distinct()
-    left = everyone.join(tried.withColumnRenamed("done", "node"), ["key", "node"], "left_anti")
-    left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    found = common.cut(left.join(mixed.select("key"), "key", "left_semi").select("key", "node", "label"), "open")
-    return None if found.isEmpty() else found
 
+def _apart(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, label of the groups whose members are in several components."""
+    known = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return known.join(mixed.select("key"), "key", "left_semi").select("key", "node", "label")
 
-def _pivots(members: DataFrame, count: int) -> DataFrame:
-    """So many members of each group with the smallest mixed hash."""
-    ranked = members.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(count)).alias("slot")).agg(
-        F.min_by("node", F.xxhash64("node", F.lit(1))).alias("pivot"),
-        F.min_by("label", F.xxhash64("node", F.lit(1))).alias("pivot_label"),
-    )
-    return common.cut(ranked.select("key", "pivot", "pivot_label"), "pivots")
 
+def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of docs that stay when one document of each component does.
 
-def _cross(members: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Distinct (pivot, node) pairs of a group whose components differ."""
-    joined = members.join(chosen, "key").filter("label <> pivot_label")
-    return joined.select(
-        F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")
-    ).distinct()
+    The one with the component's name stays; repeated rows of it stay once.
+    """
+    found = common.cut(link_components(docs, rule), "components")
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    gone = common.cut(gone, "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.join(side, docs["doc_id"] == gone["doc_id"], "left_anti")
+    repeated = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    unnamed = found.filter("doc_id is null")
+    if not unnamed.isEmpty():
+        named = docs.filter("doc_id is not null").select("text").distinct()
+        rest = docs.filter("doc_id is null").dropDuplicates(["text"]).join(named, "text", "left_anti")
+        kept = kept.filter("doc_id is not null").unionByName(rest.select(*docs.columns))
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
+            F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), "text").alias("row")
+        )
+        once = once.select("doc_id", "row.*").select(*docs.columns)
+        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return kept
