@@ -14,7 +14,8 @@ the lists depends on that.
 Search. A query starts from the lists of its own node and keeps a beam of the
 best nodes seen. Each round the best unexpanded nodes are expanded through the
 graph, unseen neighbours are scored against the original vectors in double
-precision, and the beam is renewed, until every node in it is expanded.
+precision, and the beam is renewed, until every node in it is expanded or a number
+of steps is over.
 
 Both live in joins on blocks of nodes, at most about BLOCK_ROWS each, by a hash
 of the id: messages between queries and blocks carry ids, never whole blocks, and
@@ -40,22 +41,31 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import common
 
 
+BLOCK_ROWS, BLOCKS_LEAST = 2048, 8
+SMALL = 65_536
+
+
 @dataclass(frozen=True)
 class Plan:
+    """Sizes of the graph and the search. Rounds and steps are for SMALL rows and grow by
+    one each time the table doubles beyond that."""
+
     neighbours: int = 32
-    trees: int = 6
-    cell: int = 768
+    trees: int = 8
+    cell: int = 1024
     cell_most: int = 2048
     sampled: int = 16
-    rounds: int = 8
+    rounds: int = 2
     settled: float = 0.03
     reverse: int = 32
-    beam: int = 160
-    expand: int = 80
-    steps: int = 40
+    beam: int = 192
+    expand: int = 192
+    steps: int = 6
+
+    def more(self, count: int) -> int:
+        return max(0, int(np.ceil(np.log2(max(1, count) / SMALL))))
 
 
-BLOCK_ROWS = 4096
 SAMPLE = 4000
 _NONE = np.empty(0, np.int64)
 GRAPH = "blk long, node long, small binary, ids binary, scores binary, fresh binary, changed long"
@@ -369,7 +379,7 @@ def build(nodes: DataFrame, plan: Plan, count: int, blocks: int) -> DataFrame:
 
     graph = nodes.select("blk", "node", "vec").mapInArrow(empty, GRAPH)
     graph = common.cut(_merge(graph, _start(nodes, plan, count, blocks, scale), plan), "graph")
-    for _ in range(plan.rounds):
+    for _ in range(plan.rounds + plan.more(count)):
         grown = common.cut(_merge(graph, _descend(graph, plan, blocks), plan), "graph")
         common.forget(graph)
         graph = grown
@@ -418,7 +428,7 @@ def _marks(ids: np.ndarray) -> np.ndarray:
     return block_of(ids, (1 << 32) - 5).astype(np.uint32)
 
 
-def _search(index: DataFrame, queries: DataFrame, plan: Plan, blocks: int, groups: int) -> DataFrame:
+def _search(index: DataFrame, queries: DataFrame, plan: Plan, blocks: int, groups: int, steps: int) -> DataFrame:
     """qid, ids, scores: each query's beam, nearest first. queries: qid, node, qvec."""
 
     def messages(qid, qvec, ids) -> list[tuple]:
@@ -512,7 +522,7 @@ def _search(index: DataFrame, queries: DataFrame, plan: Plan, blocks: int, group
 
     links, vectors = index.select("blk", "node", "links"), index.select("blk", "node", "vec")
     state = common.cut(queries.select("qid", "node", "qvec").mapInArrow(begin, STATE), "beams")
-    for _ in range(plan.steps):
+    for _ in range(steps):
         asked = state.filter("kind = 1").select("blk", "qid", "ids")
         if asked.isEmpty():
             break
@@ -540,7 +550,7 @@ def nearest(embeddings: DataFrame, is_query, most: int, plan: Plan = Plan()) ->
     ranked = rows.withColumn("copy", F.row_number().over(first))
     named = rows.groupBy("vec").agg(F.min("vec_id").alias("node"))
     count = named.count()
-    blocks = max(common.partitions(spark), -(-count // BLOCK_ROWS))
+    blocks = max(BLOCKS_LEAST, -(-count // BLOCK_ROWS))
     nodes = common.cut(_with_blocks(named.select("node", "vec"), blocks), "nodes")
     copies = common.cut(
         ranked.filter(F.col("copy") <= most + 1).join(nodes.select("node", "vec"), "vec").select("node", "vec_id"), "copies"
@@ -549,7 +559,7 @@ def nearest(embeddings: DataFrame, is_query, most: int, plan: Plan = Plan()) ->
     queries = rows.filter(is_query).join(nodes.select("node", "vec"), "vec").select(
         F.col("vec_id").alias("qid"), "node", F.col("vec").alias("qvec")
     )
-    beams = _search(index, queries, plan, blocks, common.partitions(spark))
+    beams = _search(index, queries, plan, blocks, blocks, plan.steps + plan.more(count))
 
     def unpack(batches):
         for batch in batches:

@@ -22,8 +22,9 @@ of classes that share a key are kept once where several keys gather the same.
 Within a group the classes' whole-set parity sketches (about four bits a shingle,
 folded to one length) are compared; a pair whose Hamming distance is over D can't
 be linked. First only a forest of the remaining pairs is verified on the sets
-themselves, one pair for each two parts of a group that it would join. Then the
-pairs whose classes are still in different components follow. No group's pairs
+themselves, one pair for each two parts of a group that it would join. Then, in
+groups where a pair of the forest failed, the pairs whose classes are still in
+different components follow. No group's pairs
 are listed when links already connect it. Groups over GROUP_MOST classes are cut
 to blocks by hash: first each block with the group's smallest class, later, if
 the group isn't one component, each two blocks.
@@ -277,7 +278,7 @@ def _groups(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _forest(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
-    """Pairs (pivot, node) of classes in one place that their sketches let link.
+    """place, pivot, node: pairs of classes in one place that their sketches let link.
 
     Columns of members: place, other (a number for each task of a group), node, label,
     n_shingles, sketch. Only pairs of different labels; if not every one, then one
@@ -308,9 +309,10 @@ def _forest(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
             pivots.append(node[others])
             nodes.append(np.full(len(others), node[k]))
         columns = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (pivots, nodes)]
-        return pa.table([pa.array(c) for c in columns], names=["pivot", "node"])
+        place = np.full(len(columns[0]), table.column("place")[0].as_py(), np.int64)
+        return pa.table([pa.array(c) for c in (place, *columns)], names=["place", "pivot", "node"])
 
-    return members.groupBy("place", "other").applyInArrow(run, "pivot long, node long").distinct()
+    return members.groupBy("place", "other").applyInArrow(run, "place long, pivot long, node long")
 
 
 def _verify(pairs: DataFrame, named: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -401,12 +403,17 @@ def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
     sketches = sets.agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     groups = common.cut(_groups(docs, rule), "groups")
     own = groups.withColumn("label", F.col("node"))
-    tried = common.cut(_forest(_places(own, sketches, False), rule, every=False), "pairs")
+    forest = common.cut(_forest(_places(own, sketches, False), rule, every=False), "forest")
+    tried = forest.select("pivot", "node").distinct()
     links = common.cut(_verify(tried, known, docs, rule), "links")
     labels = components(links)
-    apart = common.cut(_apart(groups, labels), "apart")
+    # Where all of a group's forest holds, whatever its sketches let link is linked already.
+    broken = forest.join(links, ["pivot", "node"], "left_anti").select(F.col("place").alias("key"))
+    large = groups.groupBy("key").count().filter(F.col("count") > GROUP_MOST).select("key")
+    doubtful = groups.join(broken.union(large).distinct(), "key", "left_semi")
+    apart = common.cut(_apart(doubtful, labels), "apart")
     if not apart.isEmpty():
-        more = _forest(_places(apart, sketches, True), rule, every=True)
+        more = _forest(_places(apart, sketches, True), rule, every=True).select("pivot", "node").distinct()
         more = common.cut(more.join(tried, ["pivot", "node"], "left_anti"), "pairs")
         if not more.isEmpty():
             links = common.cut(links.union(_verify(more, known, docs, rule)), "links")
