@@ -117,6 +117,10 @@ class Encoding:
                 self.memo[piece] = found
         return found
 
+    def encode_piece(self, piece: str) -> list[int]:
+        """Ids of one piece, without any split."""
+        return list(self._remembered(repair(piece)))
+
     def prepare(self, text: str) -> str:
         """NFC and marker folding, as this encoding asks; lone surrogates become U+FFFD."""
         text = repair(text)
