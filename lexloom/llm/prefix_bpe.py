@@ -31,7 +31,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokens import LETTERS, NUMBERS, OTHERS
+from .tokens import LETTERS, NUMBERS, OTHERS, byte_letters
 
 MEMO_WORDS = 800_000
 MEMO_CHARS = 48
@@ -46,15 +46,6 @@ _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LET
 _LOADED: dict = {}
 
 
-def byte_letters() -> dict[str, int]:
-    """Letters that byte-level vocabularies write for bytes: printable ones stand for
-    themselves, the others for the code points from 256 on, in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    found = {chr(b): b for b in plain}
-    rest = (b for b in range(256) if b not in set(plain))
-    return found | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class PrefixEncoder:
     def __init__(self, path: str):
         import ahocorasick

@@ -1,9 +1,9 @@
 """Exact ids of a byte-level BPE tokenizer file, with a memo of pieces.
 
 The tokenizers library does all merging. It merges within pieces of its fixed
-split pattern only, so a text may be split first and each piece encoded alone.
-Pieces recur: a worker asks the library once for a new piece and keeps its id
-bytes. The split here is written for an alphabet whose classes no Unicode
+split pattern only, so a text may be split first and each piece be given to the
+library's model alone. Pieces recur: a worker asks once for a new piece and keeps
+its id bytes. The split here is written for an alphabet whose classes no Unicode
 version changes; a text with any other character, or with a special token's
 string, goes to the library whole.
 """
@@ -31,6 +31,15 @@ MEMO_CHARS = 48
 GROUP = 128
 
 
+def byte_letters() -> dict[str, int]:
+    """Letters that byte-level vocabularies write for bytes: printable ones stand for
+    themselves, the others for the code points from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    found = {chr(b): b for b in plain}
+    rest = (b for b in range(256) if b not in set(plain))
+    return found | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,12 +47,19 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.letters = str.maketrans({chr(b): c for c, b in byte_letters().items()})
         self.memo: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece, by the library's model; it reads bytes as letters."""
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def _group(self, texts: list[str]) -> list[bytes]:
         split = [
             None if _FOREIGN.search(t) or any(s in t for s in self.specials) else _PIECES.findall(t) for t in texts
@@ -54,7 +70,7 @@ class PieceEncoder:
         for pieces in split:
             seen.update(pieces or ())
         new = list(seen.difference(self.memo))
-        self.memo.update(zip(new, self._library(new)))
+        self.memo.update(zip(new, map(self._piece, new)))
         whole = iter(self._library([t for t, p in zip(texts, split) if p is None]))
         ids = self.memo.__getitem__
         out = [next(whole) if p is None else b"".join(map(ids, p)) for p in split]
