@@ -98,6 +98,28 @@ from sized group by conv_id
 """
 
 
+OP7_SQL = r"""
+with recursive words as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws
+    from documents
+), grams as materialized (
+    select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+        else list_transform(range(1, len(ws) - 2), lambda k: array_to_string(ws[k : k + 3], ' ')) end) as gram
+    from words
+), sizes as materialized (select doc_id, count(*) as n from grams group by doc_id
+), links as materialized (
+    select a.doc_id as one, b.doc_id as other
+    from grams a join grams b using (gram) join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+    group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach as (
+    select one, other from links union select r.one, l.other from reach r join links l on l.one = r.other
+)
+select w.doc_id, coalesce(any_value(s.n), 0) as n_shingles, coalesce(min(r.other), w.doc_id) as component_id
+from words w left join sizes s using (doc_id) left join reach r on r.one = w.doc_id group by w.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_prefix_hash_fingerprints,
@@ -115,4 +137,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_reply_tree_chat": OP10_SQL}
+    return {"op7_parity_jaccard_join": OP7_SQL, "op10_reply_tree_chat": OP10_SQL}
