@@ -285,16 +285,10 @@ def _forest(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
     for each two parts of the place that they join.
     """
 
-    def run(table):
-        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
-        order = np.lexsort((node,))
-        order = order[np.r_[True, node[order][1:] != node[order][:-1]]]
-        node, label, sizes = node[order], label[order], table.column("n_shingles").to_numpy()[order]
-        raw = table.column("sketch").to_pylist()
-        words = min(len(raw[k]) for k in order) // 8
-        sketches = np.stack([fold(raw[k], words) for k in order])
+    def compare(node, label, sizes, raw):
+        words = min(map(len, raw)) // 8
+        sketches = np.stack([fold(r, words) for r in raw])
         part = np.unique(label, return_inverse=True)[1]
-        pivots, nodes = [], []
         for k in range(1, len(node)):
             others = np.flatnonzero(part[:k] != part[k])
             if not len(others):
@@ -306,13 +300,50 @@ def _forest(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
                 joined, first = np.unique(part[others], return_index=True)
                 others = others[first]
                 part[np.isin(part, joined)] = part[k]
-            pivots.append(node[others])
-            nodes.append(np.full(len(others), node[k]))
-        columns = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (pivots, nodes)]
-        place = np.full(len(columns[0]), table.column("place")[0].as_py(), np.int64)
-        return pa.table([pa.array(c) for c in (place, *columns)], names=["place", "pivot", "node"])
+            if len(others):
+                yield node[others], node[k]
 
-    return members.groupBy("place", "other").applyInArrow(run, "place long, pivot long, node long")
+    def run(batches):
+        """One sorted stream; a group that a batch breaks off waits for the next."""
+        held: list[pa.RecordBatch] = []
+        for batch in _with_end(batches):
+            if batch is not None:
+                held.append(batch)
+                if batch.num_rows and held[0].num_rows and _same_group(held[0], batch):
+                    continue
+            if not held:
+                continue
+            table = pa.Table.from_batches(held)
+            place, other, node, label, sizes = (table.column(c).to_numpy() for c in ("place", "other", "node", "label", "n_shingles"))
+            raw = table.column("sketch").to_pylist()
+            cuts = np.flatnonzero((place[1:] != place[:-1]) | (other[1:] != other[:-1])) + 1
+            bounds = np.r_[0, cuts, len(place)]
+            last = len(bounds) - 1 if batch is None else len(bounds) - 2
+            places, pivots, nodes = [], [], []
+            for a, b in zip(bounds[:last].tolist(), bounds[1 : last + 1].tolist()):
+                if b - a > 1:
+                    for found, own in compare(node[a:b], label[a:b], sizes[a:b], raw[a:b]):
+                        pivots.append(found)
+                        nodes.append(np.full(len(found), own))
+                        places.append(np.full(len(found), place[a]))
+            done = int(bounds[last])
+            held = table.slice(done).combine_chunks().to_batches() if done < len(place) else []
+            columns = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (places, pivots, nodes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "pivot", "node"])
+
+    parts = common.partitions(members.sparkSession)
+    once = members.select("place", "other", "node", "label", "n_shingles", "sketch").repartition(parts, "place", "other")
+    return once.sortWithinPartitions("place", "other", "node").mapInArrow(run, "place long, pivot long, node long")
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+def _same_group(first: pa.RecordBatch, batch: pa.RecordBatch) -> bool:
+    """Whether all rows from the first held to this batch's last are of one group."""
+    return all(first.column(c)[0] == batch.column(c)[batch.num_rows - 1] for c in (0, 1))
 
 
 def _verify(pairs: DataFrame, named: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
