@@ -13,7 +13,7 @@ import pickle
 import re
 import unicodedata
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from lexloom.functions.grammar import grammar
 from lexloom.operators import kernel
@@ -76,7 +76,9 @@ class Encoding:
 
     def _list_pairs(self) -> None:
         v = self.vocabulary
-        start = {t: i for i, t in v.tokens.items() if len(t) == 1 or v.splits.get(i) == formats.START_SYMBOL}
+        # Without a merge list the single bytes are what merging starts from.
+        marked = formats.START_SYMBOL in v.splits.values()
+        start = {t: i for i, t in v.tokens.items() if (v.splits.get(i) == formats.START_SYMBOL if marked else len(t) == 1)}
         self.singles = start
         made = v.merges
         if made is None:
@@ -334,9 +336,11 @@ def repair(text: str) -> str:
         return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
-def unnormalized_class() -> str:
-    """A character class of all code points that NFC may change: those that aren't a
-    lone starter of quick-check yes. All lie from U+0300 on; ranges, for any engine."""
+@lru_cache
+def unnormalized_ranges() -> tuple[tuple[int, int], ...]:
+    """Ranges of all code points that NFC may change or that may join one before them.
+    All lie from U+0300 on."""
+
     def may(c: int) -> bool:
         s = chr(c)
         return unicodedata.combining(s) != 0 or not unicodedata.is_normalized("NFC", s) or _composes(c)
@@ -349,7 +353,12 @@ def unnormalized_class() -> str:
         if not hit and start is not None:
             ranges.append((start, c - 1))
             start = None
-    return formats.class_of_ranges(ranges)
+    return tuple(ranges)
+
+
+def unnormalized_class() -> str:
+    """Those code points as the inside of a Java character class."""
+    return formats.class_of_ranges(unnormalized_ranges())
 
 
 _SECONDS: set[int] = set()
@@ -371,9 +380,7 @@ def unnormalized(texts: list[str]) -> list[int]:
     """Places of the texts that NFC might change."""
     global _UNSAFE
     if _UNSAFE is None:
-        import regex
-
-        _UNSAFE = regex.compile(f"[{unnormalized_class()}]")
+        _UNSAFE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in unnormalized_ranges()) + "]")
     return [k for k, t in enumerate(texts) if _UNSAFE.search(t)]
 
 

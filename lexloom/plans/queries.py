@@ -333,7 +333,7 @@ _ACCENT = "replace(text, 'e', 'e' || chr(769))"
 @query(f"select doc_id, nfc_normalize({_ACCENT}) <> {_ACCENT} as changed from documents where contains(text, 'e')")
 def nfc_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with every e accented in two code points: all are flagged, and all change."""
-    text = F.replace(F.col("text"), F.lit("e"), F.lit("é"))
+    text = F.replace(F.col("text"), F.lit("e"), F.lit("e\u0301"))
     return _docs(spark, sf_dir).filter(F.contains("text", F.lit("e"))).select("doc_id", _columns(spark).unnormalized(text).alias("changed"))
 
 
@@ -347,7 +347,7 @@ def nfc_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nfc_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = _ranked("qwen")
     c = Columns(spark, Encoding("byte_bpe_50k/qwen+nfc", plain.vocabulary, "qwen", nfc=True))
-    text = F.replace(F.col("text"), F.lit("e"), F.lit("é"))
+    text = F.replace(F.col("text"), F.lit("e"), F.lit("e\u0301"))
     return _docs(spark, sf_dir).select("doc_id", c.count(text).cast("long").alias("n_tokens"))
 
 

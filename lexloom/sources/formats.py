@@ -165,7 +165,7 @@ def dump_classes(classes: dict[str, list[tuple[int, int]]]) -> bytes:
 
 
 def class_of_ranges(ranges: list[tuple[int, int]]) -> str:
-    """Ranges as the inside of a Java or Python character class."""
+    """Ranges as the inside of a Java character class."""
     return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
 
 
@@ -216,7 +216,16 @@ def parse_tokenizer_json(data: bytes) -> Vocabulary:
     tokens = {i: to_bytes(t) for t, i in ids.items() if t not in added}
     made = [(ids[a + b], len(to_bytes(a))) for a, b in merges]
     splits = dict.fromkeys(tokens, NO_MERGE)
-    splits |= {i: START_SYMBOL for i, t in tokens.items() if len(t) == 1 or model.get("byte_fallback") and len(t.decode("utf-8", "replace")) == 1}
+    fallback = bool(model.get("byte_fallback"))
+    written = {t for t in ids if len(t) == 1} if fallback else set()
+    for token, i in ids.items():
+        data = tokens.get(i)
+        if data is None:
+            continue
+        # A character's own token stands before the fallback token of its byte.
+        spare = fallback and len(token) > 1 and len(data) == 1 and (data.decode("latin-1").replace(" ", "▁") in written)
+        if not spare and (len(data) == 1 or fallback and len(token) == 1):
+            splits[i] = START_SYMBOL
     for token, left in reversed(made):
         splits[token] = left
     return Vocabulary(tokens, splits, made, list(added.items()))
