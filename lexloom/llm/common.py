@@ -2,12 +2,44 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import hashlib
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+_SLOT: dict[Hashable, Any] = {}
+
+
+def worker_memo(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps between tasks: one thing at a time.
+
+    Memos of pieces and words speed an operator up from task to task; the next
+    operator's replaces it, so a worker never holds two.
+    """
+    if key not in _SLOT:
+        if _SLOT:
+            _SLOT.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library keeps freed memory itself
+                pass
+        _SLOT[key] = make()
+    return _SLOT[key]
+
+
+def digest_of(value: Any) -> str:
+    """A name for a model, by its content."""
+    return hashlib.sha256(pickle.dumps(value)).hexdigest()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read the named columns of a table; other columns never reach the plan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

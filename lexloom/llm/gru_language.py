@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import common
+
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 3000
 RUNS_PER_LANGUAGE = 20_000
@@ -235,8 +237,10 @@ def predict(docs: DataFrame, net: Network | None, columns: list[str]) -> DataFra
     kept = docs.select(*columns, "text")
     schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
 
+    name = common.digest_of(net)
+
     def run(batches):
-        scorer = Scorer(net) if net else None
+        scorer = common.worker_memo(name, lambda: Scorer(net)) if net else None
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             found = scorer.predict(texts) if scorer else [(UNKNOWN, 0.0)] * len(texts)

@@ -65,7 +65,6 @@ PER_PIVOT = 512
 #: Words whose hash a worker keeps, and classes a task remembers to have emitted.
 MEMO_WORDS = 1_000_000
 
-_MEMO: dict[bytes, int] = {}
 _U = np.uint64
 # Fixed odd multipliers of the public SplitMix64 mixer.
 _M1, _M2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -99,14 +98,15 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    if len(_MEMO) > MEMO_WORDS:
-        _MEMO.clear()
+    memo = common.worker_memo("word hashes", dict)
+    if len(memo) > MEMO_WORDS:
+        memo.clear()
     try:
-        each = list(map(_MEMO.__getitem__, found))
+        each = list(map(memo.__getitem__, found))
     except KeyError:
-        for w in set(found).difference(_MEMO):
-            _MEMO[w] = xxhash.xxh64_intdigest(w)
-        each = list(map(_MEMO.__getitem__, found))
+        for w in set(found).difference(memo):
+            memo[w] = xxhash.xxh64_intdigest(w)
+        each = list(map(memo.__getitem__, found))
     h = np.array(each, np.uint64)
     size = min(words, len(h))
     n = len(h) - size + 1

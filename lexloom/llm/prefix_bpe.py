@@ -31,6 +31,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
 from .tokens import LETTERS, NUMBERS, OTHERS, byte_letters
 
 MEMO_WORDS = 800_000
@@ -43,7 +44,6 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 _FOREIGN = re.compile(rf"[^\x00-\x1b\x20-\xff{LETTERS}{OTHERS}]|İ")
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
-_LOADED: dict = {}
 
 
 class PrefixEncoder:
@@ -199,9 +199,8 @@ class PrefixEncoder:
 
 
 def encoder(path: str) -> PrefixEncoder:
-    if path not in _LOADED:
-        _LOADED[path] = PrefixEncoder(path)
-    return _LOADED[path]
+    """This worker's encoder of a file, kept from task to task."""
+    return common.worker_memo(("prefixes", path), lambda: PrefixEncoder(path))
 
 
 def digest(docs: DataFrame, vocab_path: str) -> DataFrame:

@@ -7,8 +7,8 @@ word a vector (Nyström: kernel values with the landmarks times the inverse root
 of the landmarks' own kernel matrix), and a linear squared-hinge machine works
 on these vectors.
 
-Labels belong to whole texts. Training takes a text as a bag of words: every word
-of a text labelled 0 is negative, and of a text labelled 1 the word that the
+Labels belong to whole texts. Training takes a text as a bag of words: words
+of texts labelled 0 are negative, and of a text labelled 1 the word that the
 machine rates highest is positive; machine and choice alternate. Positive words
 are also learnt with letters inserted. A text's score is a logistic function of
 its highest word, fitted on the bags.
@@ -31,20 +31,25 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import common
+
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 6000
-LANDMARKS_TOXIC, LANDMARKS_OTHER = 16, 8
+LANDMARKS_TOXIC, LANDMARKS_NEAR, LANDMARKS_OTHER = 48, 40, 40
 ORDER = 3
 DECAY = 0.6
 WIDTH = 24
-NEGATIVES = 12_000
-ROUNDS = 5
-RIDGE = 1e-2
+NEGATIVES, HARD = 6_000, 1_500
+ROUNDS = 4
+#: Standard deviations above chance from which a word is surely positive, or no negative.
+SURE, DOUBTFUL = 4.0, 2.0
+RIDGE = 1e-4
 MEMO_TOKENS = 1_000_000
 LOWEST = -4.0
 
@@ -67,6 +72,11 @@ def units(token: str) -> list[str]:
     return [word[k : k + WIDTH] for k in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
 
 
+def bounded(word: str) -> str:
+    """The word between marks of its ends, which count as letters."""
+    return f"^{word}$"
+
+
 def codes(words: list[str], width: int) -> np.ndarray:
     out = np.zeros((len(words), width), np.int32)
     for k, w in enumerate(words):
@@ -76,6 +86,7 @@ def codes(words: list[str], width: int) -> np.ndarray:
 
 def kernel(words: list[str], marks: list[str]) -> np.ndarray:
     """Gap-weighted subsequence kernel of every word with every mark, unnormalised."""
+    words, marks = list(map(bounded, words)), list(map(bounded, marks))
     width = max(map(len, marks))
     mark = codes(marks, width)
     reach = np.tril(np.ones((width, width), np.float32), -1)
@@ -84,8 +95,8 @@ def kernel(words: list[str], marks: list[str]) -> np.ndarray:
             reach[a, b] = DECAY ** (a - b - 1)
     shift, total = reach.T.copy(), np.zeros((len(words), len(marks)), np.float32)
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    for low in range(0, len(order), 512):
-        pick = order[low : low + 512]
+    for low in range(0, len(order), 64):
+        pick = order[low : low + 64]
         s = codes([words[k] for k in pick], max(1, max(len(words[k]) for k in pick)))
         # ends[i][n, m, j]: common subsequences of i letters that end at mark letter j,
         # weighted by what they span so far in either word.
@@ -108,6 +119,7 @@ def kernel(words: list[str], marks: list[str]) -> np.ndarray:
 
 def self_kernel(words: list[str]) -> np.ndarray:
     """Each word's kernel with itself."""
+    words = list(map(bounded, words))
     out = np.zeros(len(words), np.float32)
     by: dict[int, list[int]] = {}
     for k, w in enumerate(words):
@@ -138,6 +150,13 @@ def self_kernel(words: list[str]) -> np.ndarray:
 
 @dataclass
 class Machine:
+    """The machine over landmarks, and the same function as one weight a letter triple.
+
+    f(w) = sum over landmarks of a(m) k(w, m) / |w| + bias is linear in k, so what the
+    landmarks weigh in all is a table over triples of letters, and a word is rated by its
+    own gapped triples, however many landmarks there are.
+    """
+
     marks: list[str]
     whiten: np.ndarray
     scale: np.ndarray
@@ -151,10 +170,34 @@ class Machine:
         own = np.sqrt(np.maximum(self_kernel(words), 1e-12))
         return (raw / own[:, None]) @ self.whiten
 
+    def compress(self) -> None:
+        """The table of triples; letters that no landmark has are one letter of weight 0."""
+        letters = sorted({c for m in self.marks for c in bounded(m)})
+        self.letter = {c: k + 1 for k, c in enumerate(letters)}
+        size = self.size = len(letters) + 1
+        share = (self.whiten @ self.weights) / self.scale
+        table = np.zeros(size**ORDER)
+        for mark, weight in zip(self.marks, share.tolist()):
+            at = [self.letter[c] for c in bounded(mark)]
+            for i, j, k in combinations(range(len(at)), ORDER):
+                table[(at[i] * size + at[j]) * size + at[k]] += weight * DECAY ** (k - i + 1)
+        self.table = table.astype(np.float32)
+
     def rate(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        return np.maximum(self.vectors(words) @ self.weights + self.bias, LOWEST)
+        """The machine's value for each word."""
+        out, by = np.zeros(len(words)), {}
+        for k, w in enumerate(words):
+            by.setdefault(len(w), []).append(k)
+        own = np.sqrt(np.maximum(self_kernel(words), 1e-12)) if words else out
+        for size, all_picks in by.items():
+            i, j, k = (np.array(x) for x in zip(*combinations(range(size + 2), ORDER)))
+            reach = (DECAY ** (k - i + 1)).astype(np.float32)
+            step = max(1, 200_000 // len(i))
+            for low in range(0, len(all_picks), step):
+                pick = all_picks[low : low + step]
+                at = np.array([[self.letter.get(c, 0) for c in bounded(words[p])] for p in pick], np.int32)
+                out[pick] = self.table[(at[:, i] * self.size + at[:, j]) * self.size + at[:, k]] @ reach
+        return np.maximum(out / own + self.bias, LOWEST)
 
     def chance(self, rating: float) -> float:
         return float(1 / (1 + np.exp(-(self.slope * rating + self.shift))))
@@ -163,55 +206,89 @@ class Machine:
     def train(cls, bags: list[tuple[int, str]], seed: int = 11) -> Machine | None:
         """From (label, text) pairs; None unless both labels occur."""
         rng = np.random.default_rng(seed)
-        sets = [(y, sorted({u for t in tokens(x) for u in units(t)})) for y, x in bags]
+        sets = _distinct([(y, sorted({u for t in tokens(x) for u in units(t)})) for y, x in bags])
         good, bad = Counter(), Counter()
         for y, words in sets:
             (bad if y else good).update(words)
         n_bad, n_good = sum(y == 1 for y, _ in sets), sum(y == 0 for y, _ in sets)
         if not n_bad or not n_good or not bad or not good:
             return None
-        lift = {
-            w: (c / n_bad) * np.log(((c + 0.5) / (n_bad + 1)) / ((good[w] + 0.5) / (n_good + 1)))
-            for w, c in bad.items()
-            if len(w) >= ORDER
-        }
-        top = sorted(lift, key=lambda w: (-lift[w], w))[:LANDMARKS_TOXIC]
-        rest = sorted((w for w in good if len(w) >= ORDER and w not in top), key=lambda w: (-good[w], w))[:400]
-        marks = top + [rest[k] for k in sorted(rng.permutation(len(rest))[:LANDMARKS_OTHER])]
-        if not marks:
+        every = sorted({w for _, words in sets for w in words})
+        at = {w: k for k, w in enumerate(every)}
+        # How far above chance, in standard deviations, a word's texts are toxic.
+        share = n_bad / (n_bad + n_good)
+        toxic_in, all_in = (np.array([c[w] for w in every]) for c in (bad, good + bad))
+        above = (toxic_in - all_in * share) / np.sqrt(all_in * share * (1 - share))
+        long_enough = np.array([len(w) >= ORDER for w in every])
+        order = np.lexsort((np.arange(len(every)), -above))
+        top = [every[k] for k in order if toxic_in[k] >= 2 and long_enough[k]][:LANDMARKS_TOXIC]
+        top = top or [every[k] for k in order[:LANDMARKS_TOXIC] if toxic_in[k]]
+        calm = [k for k in range(len(every)) if good[every[k]] and above[k] < DOUBTFUL]
+        if not calm:
             return None
+        some = [every[k] for k in rng.choice(calm, min(len(calm), 4 * NEGATIVES // 2), replace=False)]
+        likeness = (kernel(some, top) / np.sqrt(np.maximum(self_kernel(some), 1e-12))[:, None]).max(1)
+        near = [some[k] for k in np.argsort(-likeness, kind="stable")[:LANDMARKS_NEAR]]
+        marks = list(dict.fromkeys(top + near + some[:LANDMARKS_OTHER]))
         scale = np.sqrt(np.maximum(self_kernel(marks), 1e-12))
         gram = kernel(marks, marks) / scale / scale[:, None]
         values, basis = np.linalg.eigh(gram.astype(np.float64))
         whiten = (basis / np.sqrt(np.maximum(values, 1e-3))).astype(np.float32)
         net = cls(marks, whiten, scale.astype(np.float32), np.zeros(len(marks), np.float32))
 
-        every = sorted({w for _, words in sets for w in words})
-        at = {w: k for k, w in enumerate(every)}
-        x = net.vectors(every)
-        negative = np.array(sorted(at[w] for w in good))
-        if len(negative) > NEGATIVES:
-            common = np.array([at[w] for w, _ in good.most_common(NEGATIVES // 2)])
-            negative = np.unique(np.r_[common, rng.choice(negative, NEGATIVES // 2, replace=False)])
-        guess = np.array([lift.get(w, 0.0) for w in every])
+        known: dict[int, np.ndarray] = {}
+
+        def vectors(picks) -> np.ndarray:
+            new = [k for k in picks if k not in known]
+            if new:
+                known.update(zip(new, net.vectors([every[k] for k in new])))
+            return np.stack([known[k] for k in picks])
+
+        sure = np.flatnonzero((above >= SURE) & (toxic_in >= 3) & long_enough)
+        negative = set(rng.choice(calm, min(len(calm), NEGATIVES), replace=False).tolist())
+        guess, calm = above.copy(), np.array(calm)
         for _ in range(ROUNDS):
             chosen = [max((at[w] for w in words), key=lambda k: guess[k]) for y, words in sets if y and words]
-            hits = Counter(chosen)
-            # a word chosen once only is as likely to come from a wrong label
-            strong = [k for k, c in hits.items() if c >= 2] or list(hits)
-            spoilt = net.vectors([_spoil(every[k], rng) for k in strong for _ in range(6)])
-            taken = negative[~np.isin(negative, strong)]
-            data = np.concatenate([x[strong], spoilt, x[taken]])
+            # Single words of wrongly labelled texts stand no further above chance than others.
+            hits = Counter(k for k in chosen if above[k] >= DOUBTFUL and long_enough[k])
+            hits.update(sure.tolist())
+            strong = sorted(hits) or sorted(set(chosen))
+            hits.update(strong)
+            spoilt = net.vectors([_spoil(every[k], rng) for k in strong for _ in range(3)])
+            taken = sorted(negative.difference(strong))
+            data = np.concatenate([vectors(strong), spoilt, vectors(taken)])
             y = np.r_[np.ones(len(strong) + len(spoilt)), -np.ones(len(taken))]
-            counts = np.r_[[hits[k] for k in strong], np.repeat([hits[k] / 6 for k in strong], 6)]
-            heavy = np.r_[counts / counts.sum(), np.full(len(taken), 2.0 / max(1, len(taken)))]
+            counts = np.sqrt([hits[k] for k in strong])
+            heavy = np.r_[counts / counts.sum(), 0.3 * np.repeat(counts, 3) / counts.sum() / 3]
+            heavy = np.r_[heavy, np.full(len(taken), 4.0 / len(taken))]
             net.weights, net.bias = _squared_hinge(data, y, heavy)
-            guess = x @ net.weights + net.bias
+            net.compress()
+            guess = net.rate(every)
+            negative.update(calm[np.argsort(-guess[calm], kind="stable")[:HARD]].tolist())
         top_of = np.array([max((guess[at[w]] for w in words), default=LOWEST) for _, words in sets])
         net.slope, net.shift = _logistic(np.maximum(top_of, LOWEST), np.array([y for y, _ in sets]))
         return net
 
 
+def _distinct(sets: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
+    """Bags without near copies of earlier ones of their label: copies of one wrongly
+    labelled text would look like many. By 64 minima of hashed words."""
+    import zlib
+
+    kept, marks = [], {0: [], 1: []}
+    mixers = np.random.default_rng(3).integers(1, 1 << 62, 64).astype(np.uint64) | np.uint64(1)
+    for y, words in sets:
+        if not words:
+            kept.append((y, words))
+            continue
+        hashed = np.array([zlib.crc32(w.encode("utf-8", "replace")) + 1 for w in words], np.uint64)
+        mark = ((hashed[:, None] * mixers) >> np.uint64(32)).min(0)
+        if not marks[y] or (np.stack(marks[y]) == mark).mean(1).max() < 0.5:
+            kept.append((y, words))
+            marks[y].append(mark)
+    return kept
+
+
 def _spoil(word: str, rng) -> str:
     """The word with one or two letters inserted or one doubled."""
     out = list(word)
@@ -291,8 +368,10 @@ def predict(docs: DataFrame, machine: Machine | None, columns: list[str]) -> Dat
     """The named columns of docs with score and predicted."""
     schema = docs.select(*columns).schema.add("score", "double").add("predicted", "integer")
 
+    name = common.digest_of(machine)
+
     def run(batches):
-        scorer = Scorer(machine) if machine else None
+        scorer = common.worker_memo(name, lambda: Scorer(machine)) if machine else None
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             scores = scorer.score(texts) if scorer else [0.0] * len(texts)

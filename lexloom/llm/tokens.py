@@ -14,6 +14,8 @@ import os
 import re
 from array import array
 
+from . import common
+
 # Code points whose Unicode class is the same in every library.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 NUMBERS = "0-9²³¹¼-¾"
@@ -22,7 +24,6 @@ _FOREIGN = re.compile(rf"[^\x00-\x1b\x20-\xff{LETTERS}{OTHERS}]")
 _PIECES = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 )
-_LOADED: dict = {}
 
 #: Pieces kept per worker (about 200 bytes each), and the longest piece kept.
 MEMO_ENTRIES = 1_000_000
@@ -88,10 +89,8 @@ class PieceEncoder:
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = PieceEncoder(path)
-    return _LOADED[path]
+    """This worker's encoder of a file, kept from task to task."""
+    return common.worker_memo(("pieces", path), lambda: PieceEncoder(path))
 
 
 def vocabulary(name: str) -> str:

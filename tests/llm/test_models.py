@@ -70,13 +70,14 @@ def kernel_by_brute_force(a, b, order, decay):
 
 
 def test_the_kernel_counts_gapped_subsequences():
+    """Of words between marks of their ends, which are letters of the kernel."""
     words, marks = ["idiot", "idxiot", "table", "ab", "aaaa"], ["idiot", "tablet", "aaa"]
     got = string_kernel.kernel(words, marks)
     for k, w in enumerate(words):
         for m, mark in enumerate(marks):
-            want = kernel_by_brute_force(w, mark, string_kernel.ORDER, string_kernel.DECAY)
+            want = kernel_by_brute_force(f"^{w}$", f"^{mark}$", string_kernel.ORDER, string_kernel.DECAY)
             assert got[k, m] == pytest.approx(want, rel=1e-4, abs=1e-6)
-        own = kernel_by_brute_force(w, w, string_kernel.ORDER, string_kernel.DECAY)
+        own = kernel_by_brute_force(f"^{w}$", f"^{w}$", string_kernel.ORDER, string_kernel.DECAY)
         assert string_kernel.self_kernel([w])[0] == pytest.approx(own, rel=1e-4, abs=1e-6)
 
 
@@ -92,6 +93,13 @@ def toxic_bags():
     return bags
 
 
+def test_the_table_of_triples_is_the_machine():
+    machine = string_kernel.Machine.train(toxic_bags())
+    words = ["idiot", "idxiot", "fox", "hills", "a", "zzzzqqq", "worthlesss"]
+    want = machine.vectors(words) @ machine.weights + machine.bias
+    assert np.allclose(machine.rate(words), np.maximum(want, string_kernel.LOWEST), atol=1e-3)
+
+
 def test_insults_are_found_with_gaps_and_inserted_letters(documents):
     machine = string_kernel.Machine.train(toxic_bags())
     texts = ["You IDIOT!", "such an id-iot here", "an i d i o t again", "a wortthless thing", "moroon", "lazy dogs flow past"]
