@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexloom.llm import common, crf_pii, gru_language, packing, parity_join, queries, string_kernel, tokens
 
 #: A text whose likeliest language has less than this share is in none of them.
-LANGUAGE_SHARE = 0.35
+LANGUAGE_SHARE = 0.3
 #: Near copies: five-word shingles, similarity 0.8 or more.
 NEAR = parity_join.Rule(words=5, num=80, den=100)
 
