@@ -64,8 +64,8 @@ class Grammar:
 
     def split(self, text: str) -> list[str]:
         """Pieces of one text; they tile it."""
-        found = (self.compiled if NOT_LATIN.search(text) else self.latin).finditer(text)
-        return [m.group() for m in found]
+        # No spelling has a capturing group, so findall gives whole matches.
+        return (self.compiled if NOT_LATIN.search(text) else self.latin).findall(text)
 
     def pieces(self, text: Column) -> Column:
         """Pieces as a Catalyst array; a null text gives null."""

@@ -14,13 +14,14 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
+from itertools import chain
 
 from lexloom.functions.grammar import grammar
 from lexloom.operators import kernel
 from lexloom.sources import formats
 
 MEMO_PIECES = 600_000
-MEMO_BYTES = 48
+MEMO_CHARS = 48
 
 # The encodings known by name, with grammar, NFC and space-marker folding.
 KNOWN = {
@@ -56,6 +57,7 @@ class Encoding:
     nfc: bool = False
     fold: bool = False
     memo: dict = field(default_factory=dict, repr=False, compare=False)
+    sizes: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __post_init__(self) -> None:
         v = self.vocabulary
@@ -109,19 +111,23 @@ class Encoding:
             return kernel.merge_ranks(piece, self.ranks)
         return kernel.merge_pairs(kernel.start_symbols(piece, self.singles, self.by_character), self.pairs)
 
-    def _remembered(self, piece: str) -> tuple[int, ...]:
-        found = self.memo.get(piece)
-        if found is None:
-            found = tuple(self.merge(piece.encode("utf-8", "replace")))
-            if len(piece) <= MEMO_BYTES:
-                if len(self.memo) >= MEMO_PIECES:
-                    self.memo.clear()
-                self.memo[piece] = found
-        return found
+    def _learn(self, pieces: list[str]) -> tuple[dict, dict]:
+        """Ids and numbers of ids for these pieces at least; short ones are kept."""
+        if len(self.memo) >= MEMO_PIECES:
+            self.memo.clear()
+            self.sizes.clear()
+        new = {p: tuple(self.merge(p.encode("utf-8", "replace"))) for p in set(pieces).difference(self.memo)}
+        self.memo.update((p, ids) for p, ids in new.items() if len(p) <= MEMO_CHARS)
+        self.sizes.update((p, len(ids)) for p, ids in new.items() if len(p) <= MEMO_CHARS)
+        if all(len(p) <= MEMO_CHARS for p in new):
+            return self.memo, self.sizes
+        ids = {p: new.get(p) or self.memo[p] for p in pieces}
+        return ids, {p: len(i) for p, i in ids.items()}
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one piece, without any split."""
-        return list(self._remembered(repair(piece)))
+        piece = repair(piece)
+        return list(self._learn([piece])[0][piece])
 
     def prepare(self, text: str) -> str:
         """NFC and marker folding, as this encoding asks; lone surrogates become U+FFFD."""
@@ -135,19 +141,22 @@ class Encoding:
         text = repair(text)
         if self.fold:
             text = text.replace("▁", " ")
-        memo = self.memo
-        out: list[int] = []
-        for piece in self.grammar.split(text):
-            out += memo.get(piece) or self._remembered(piece)
-        return out
+        pieces = self.grammar.split(text)
+        try:
+            return list(chain.from_iterable(map(self.memo.__getitem__, pieces)))
+        except KeyError:
+            return list(chain.from_iterable(map(self._learn(pieces)[0].__getitem__, pieces)))
 
     def count(self, text: str) -> int:
         """Number of ids; none is listed."""
         text = repair(text)
         if self.fold:
             text = text.replace("▁", " ")
-        memo = self.memo
-        return sum([len(memo.get(p) or self._remembered(p)) for p in self.grammar.split(text)])
+        pieces = self.grammar.split(text)
+        try:
+            return sum(map(self.sizes.__getitem__, pieces))
+        except KeyError:
+            return sum(map(self._learn(pieces)[1].__getitem__, pieces))
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """Ids of any bytes, without loss: stretches that aren't UTF-8 are split as Latin-1."""
