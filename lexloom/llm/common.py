@@ -40,6 +40,19 @@ def digest_of(value: Any) -> str:
     return hashlib.sha256(pickle.dumps(value)).hexdigest()
 
 
+#: Rows of whole texts that a worker holds at once; Spark's default is five times more.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, with its session's Arrow batches held to BATCH_ROWS rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read the named columns of a table; other columns never reach the plan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import common
+
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("email", "phone", "secret")
 ORDER = {kind: k for k, kind in enumerate((*KINDS, "secret"))}
@@ -405,6 +407,7 @@ def scan(docs: DataFrame) -> DataFrame:
     model = field()
 
     def run(batches):
+        common.worker_memo("personal data", dict)
         for batch in batches:
             found = find(batch.column(1).to_pylist(), model)
             counts = [[sum(s[0] == kind for s in base) for base, _ in found] for kind in KINDS]
@@ -415,7 +418,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
             )
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA)
+    texts = common.small_batches(docs).selectExpr("cast(doc_id as long) as doc_id", "text")
+    return texts.mapInArrow(run, SCHEMA)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -424,6 +428,7 @@ def redact(docs: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
+        common.worker_memo("personal data", dict)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             new = [None if t is None else mask(t, s) for t, (_, s) in zip(texts, find(texts, model))]
@@ -431,4 +436,4 @@ def redact(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.small_batches(docs).mapInArrow(run, docs.schema)

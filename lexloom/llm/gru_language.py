@@ -39,7 +39,7 @@ TRAIN_BYTES = 16
 STEPS = 500
 BATCH = 512
 RATE = 0.02
-MEMO_RUNS = 1_000_000
+MEMO_RUNS = 500_000
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -234,7 +234,8 @@ def fit(labelled: DataFrame) -> Network | None:
 
 def predict(docs: DataFrame, net: Network | None, columns: list[str]) -> DataFrame:
     """The named columns of docs with lang_pred and score."""
-    kept = docs.select(*columns, "text")
+    names = [*columns, *({"text"} - set(columns))]
+    kept, at = common.small_batches(docs).select(*names), names.index("text")
     schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
 
     name = common.digest_of(net)
@@ -242,7 +243,7 @@ def predict(docs: DataFrame, net: Network | None, columns: list[str]) -> DataFra
     def run(batches):
         scorer = common.worker_memo(name, lambda: Scorer(net)) if net else None
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at).to_pylist()
             found = scorer.predict(texts) if scorer else [(UNKNOWN, 0.0)] * len(texts)
             more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(

@@ -23,7 +23,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import tokens
+from . import common, tokens
 
 CAPACITY = 1024
 #: Windows of a full group, ids left free in each on average, longest piece.
@@ -132,4 +132,4 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int, capacity: int = CAPACITY
         packer.flush()
         yield packer.take()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return common.small_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -63,7 +63,7 @@ SKETCH_BITS, SKETCH_LEAST = 4, 64
 #: Classes that are compared with a pivot in one place.
 PER_PIVOT = 512
 #: Words whose hash a worker keeps, and classes a task remembers to have emitted.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 
 _U = np.uint64
 # Fixed odd multipliers of the public SplitMix64 mixer.
@@ -426,7 +426,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = common.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = common.cut(classes(docs, rule), "classes")
     sets = rows.filter("node >= 0").groupBy("node")
     named = sets.agg(F.min("doc_id").alias("doc_id"))

@@ -220,4 +220,5 @@ def digest(docs: DataFrame, vocab_path: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA)
+    texts = common.small_batches(docs).selectExpr("cast(doc_id as long) as doc_id", "text")
+    return texts.mapInArrow(run, SCHEMA)

@@ -212,7 +212,7 @@ def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """See SCHEMA; common_prefix is what text and edited text share from the start."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = common.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = common.partitions(docs.sparkSession)
     dealt = _dealt(docs, 8 * parts)
     # Within a range: own rows in order, then the following range's first.

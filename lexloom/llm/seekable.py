@@ -137,7 +137,7 @@ def write_ids(docs: DataFrame, folder: str, vocab_path: str, end_id: int, files:
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "docs": [count], "ids": [total]})
 
     ordered = (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+        common.small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("tie"))
         .repartitionByRange(files, "doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie", "text")
         .select("doc_id", "text")

@@ -50,7 +50,7 @@ ROUNDS = 4
 #: Standard deviations above chance from which a word is surely positive, or no negative.
 SURE, DOUBTFUL = 4.0, 2.0
 RIDGE = 1e-4
-MEMO_TOKENS = 1_000_000
+MEMO_TOKENS = 600_000
 LOWEST = -4.0
 
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -366,6 +366,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
 
 def predict(docs: DataFrame, machine: Machine | None, columns: list[str]) -> DataFrame:
     """The named columns of docs with score and predicted."""
+    names = [*columns, *({"text"} - set(columns))]
+    kept, at = common.small_batches(docs).select(*names), names.index("text")
     schema = docs.select(*columns).schema.add("score", "double").add("predicted", "integer")
 
     name = common.digest_of(machine)
@@ -373,11 +375,11 @@ def predict(docs: DataFrame, machine: Machine | None, columns: list[str]) -> Dat
     def run(batches):
         scorer = common.worker_memo(name, lambda: Scorer(machine)) if machine else None
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at).to_pylist()
             scores = scorer.score(texts) if scorer else [0.0] * len(texts)
             more = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(
                 batch.columns[: len(columns)] + more, names=[*columns, "score", "predicted"]
             )
 
-    return docs.select(*columns, "text").mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)

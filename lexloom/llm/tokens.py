@@ -26,7 +26,7 @@ _PIECES = re.compile(
 )
 
 #: Pieces kept per worker (about 200 bytes each), and the longest piece kept.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 600_000
 MEMO_CHARS = 48
 #: Texts that are looked up together.
 GROUP = 128

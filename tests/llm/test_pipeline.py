@@ -75,6 +75,15 @@ def test_each_stage_against_its_operator_row_by_row(spark, folder):
         assert at == len(ids)
 
 
+def test_clashing_columns_ride_along(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "'s' as score", "7 as predicted", "1L as node", "'k' as key", "0 as column_0")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = common.cut(stage(spark, docs, folder), "t")
+        assert kept.columns == docs.columns and kept.count() > 100
+        docs = kept
+    assert {(r.score, r.predicted, r.key) for r in docs.collect()} == {("s", 7, "k")}
+
+
 def test_run_and_an_empty_table(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() > 0
     empty = f"{tmp_path}/empty"
