@@ -18,25 +18,27 @@ LANGUAGE_SHARE = 0.3
 NEAR = parity_join.Rule(words=5, num=80, den=100)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with numbers for names but `text`, so that no column clashes with a prediction's."""
+    return docs.toDF(*(c if c == "text" else f"column_{k}" for k, c in enumerate(docs.columns)))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts in one of the languages learnt from the labelled rows."""
     learnt = docs.filter(F.coalesce(common.remainder(F.col("doc_id"), 3) != 1, F.lit(True)))
-    others = [c for c in docs.columns if c != "text"]
-    # The text rides along twice: once to be read, once to be kept.
-    held = docs.withColumn("kept_text", F.col("text"))
-    found = gru_language.predict(held, gru_language.fit(learnt), [*others, "kept_text"])
+    held = numbered(docs)
+    found = gru_language.predict(held, gru_language.fit(learnt), held.columns)
     found = found.filter((F.col("lang_pred") != gru_language.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE))
-    return found.withColumnRenamed("kept_text", "text").select(*docs.columns)
+    return found.select(*held.columns).toDF(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts that the machine learnt from `labels` doesn't call toxic."""
     labels = common.table(spark, sf_dir, "labels", "doc_id", "toxic")
     machine = string_kernel.fit(docs, labels.filter(common.remainder(F.col("doc_id"), 5) != 0))
-    others = [c for c in docs.columns if c != "text"]
-    held = docs.withColumn("kept_text", F.col("text"))
-    found = string_kernel.predict(held, machine, [*others, "kept_text"]).filter("predicted = 0")
-    return found.withColumnRenamed("kept_text", "text").select(*docs.columns)
+    held = numbered(docs)
+    found = string_kernel.predict(held, machine, held.columns).filter("predicted = 0")
+    return found.select(*held.columns).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
