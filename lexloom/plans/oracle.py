@@ -10,7 +10,7 @@ from __future__ import annotations
 
 # White space, without and with the two line breaks, in RE2's spelling.
 _NOT_BREAK = r"\x{09}\x{0B}\x{0C}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_SPACE = _NOT_BREAK + r"\r\n"
+SPACE = _NOT_BREAK + r"\r\n"
 _MARK = r"\x{E000}"
 
 _UPPER, _LOWER = r"\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}", r"\p{Ll}\p{Lm}\p{Lo}\p{M}"
@@ -19,19 +19,19 @@ _ENDING = r"(?i:''s|''t|''re|''ve|''m|''ll|''d)?"
 
 def _pattern(name: str) -> str:
     letters = r"\p{L}\p{M}" if name == "qwen_marks" else r"\p{L}"
-    lead, other = rf"[^\r\n{letters}\p{{N}}{_MARK}]?", rf" ?[^{_SPACE}{letters}\p{{N}}{_MARK}]+"
+    lead, other = rf"[^\r\n{letters}\p{{N}}{_MARK}]?", rf" ?[^{SPACE}{letters}\p{{N}}{_MARK}]+"
     short = r"''(?i:[sdmt]|ll|ve|re)"
     if name == "cl100k":
-        return rf"{short}|{lead}{letters and f'[{letters}]'}+|\p{{N}}{{1,3}}|{other}[\r\n]*|[{_SPACE}]+\z|[{_SPACE}]*[\r\n]|[{_SPACE}]+"
+        return rf"{short}|{lead}{letters and f'[{letters}]'}+|\p{{N}}{{1,3}}|{other}[\r\n]*|[{SPACE}]+\z|[{SPACE}]*[\r\n]|[{SPACE}]+"
     if name == "o200k":
         words = rf"{lead}[{_UPPER}]*[{_LOWER}]+{_ENDING}|{lead}[{_UPPER}]+[{_LOWER}]*{_ENDING}"
-        return rf"{words}|\p{{N}}{{1,3}}|{other}[\r\n/]*|[{_SPACE}]*[\r\n]+|[{_SPACE}]+"
-    return rf"{short}|{lead}[{letters}]+|\p{{N}}|{other}[\r\n]*|[{_SPACE}]*[\r\n]+|[{_SPACE}]+"
+        return rf"{words}|\p{{N}}{{1,3}}|{other}[\r\n/]*|[{SPACE}]*[\r\n]+|[{SPACE}]+"
+    return rf"{short}|{lead}[{letters}]+|\p{{N}}|{other}[\r\n]*|[{SPACE}]*[\r\n]+|[{SPACE}]+"
 
 
 def split(name: str, text: str = "text") -> str:
     """An expression: the list of pieces of a text expression."""
-    marked = rf"regexp_replace({text}, '([{_SPACE}])([{_NOT_BREAK}])([^{_SPACE}])', '\1' || chr(57344) || '\2\3', 'g')"
+    marked = rf"regexp_replace({text}, '([{SPACE}])([{_NOT_BREAK}])([^{SPACE}])', '\1' || chr(57344) || '\2\3', 'g')"
     return f"regexp_extract_all({marked}, '{_pattern(name)}')"
 
 

@@ -386,31 +386,93 @@ def prompt_wrapped_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the estimate
 
 
-@query()
+_RUNS = "|".join(c + "{9}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_SCRIPT = " ".join(
+    rf"when regexp_matches(first, '[\x{{{low:X}}}-\x{{{high:X}}}]') then '{name}'" for low, high, name in estimate.SCRIPTS
+)
+_SCRIPTS = "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high, _ in estimate.SCRIPTS)
+_CLASS = rf"""case when regexp_full_match(piece, '[{oracle.SPACE}]+')
+        then case when regexp_matches(piece, '[\r\n]') then 'newline' else 'space' end
+    when regexp_full_match(piece, '\p{{N}}') then 'digit'
+    when regexp_matches(piece, '[\x{{10000}}-\x{{10FFFF}}]') then 'astral'
+    when not regexp_matches(piece, '\p{{L}}') then 'punct'
+    when piece[1] = chr(39) and length(piece) <= 3 then 'contr'
+    {_SCRIPT}
+    when regexp_matches(piece, '{_RUNS}') then 'run'
+    when regexp_matches(piece, '[^\x00-\x7F]') then 'latinx'
+    when not regexp_matches(piece, '[A-Z]') then 'lower'
+    when not regexp_matches(piece, '[a-z]') then case when regexp_matches(piece, '[A-Z][^A-Z]*[A-Z]') then 'upper' else 'cap' end
+    when regexp_full_match(piece, '[^A-Za-z]*[A-Z][^A-Z]*') then 'cap' else 'camel' end"""
+
+
+def _listed(names: list[str]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+def _features_sql(select: str) -> str:
+    """With counters(key, class, n): the counters of each text that aren't 0."""
+    ctes = rf""", classed as (
+        select piece, sym, {_CLASS} as class from (select *, regexp_extract(piece, '[{_SCRIPTS}]') as first from coded)
+    ), sized as materialized (
+        select c.piece, c.class, case when c.class in ({_listed(estimate.BY_TOKEN)}) then len(c.sym) else length(c.piece) end as size,
+            case when c.class in ({_listed(estimate.WITH_RARE)}) then coalesce(r.k, 0) else 0 end as rare
+        from classed c left join (select piece, count(*) as k from (select piece, unnest(sym) as h from coded)
+            join vocab using (h) where r >= {estimate.RARE_ID} group by piece) r using (piece)
+    ), counters as materialized (
+        select key, class, cast(sum(size) as bigint) as n from pieces join sized using (piece) group by 1, 2 having sum(size) > 0
+        union all select key, 'rare_' || class, cast(sum(rare) as bigint) from pieces join sized using (piece)
+            group by 1, 2 having sum(rare) > 0
+        union all select key, 'const', 1 from src where text <> ''
+    ) """
+    return _merged(f"{ctes} {select}", name="qwen")
+
+
+_COST_ROWS = ", ".join(f"({k}, '{c}', {cost!r}::double)" for k, (c, cost) in enumerate(zip(estimate.CLASSES, estimate.COSTS)))
+
+
+@query(_features_sql("select key as doc_id, class, n from counters"))
 def estimate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = estimate.with_features(_docs(spark, sf_dir), _columns(spark), "text")
-    each = rows.select("doc_id", F.posexplode("features").alias("at", "n")).filter("n > 0")
+    counters = estimate.features(_columns(spark), F.col("text"))
+    each = _docs(spark, sf_dir).select("doc_id", F.posexplode(counters).alias("at", "n")).filter("n > 0")
     names = F.array(*map(F.lit, estimate.CLASSES))
     return each.select("doc_id", F.element_at(names, F.col("at") + 1).alias("class"), F.col("n").cast("long").alias("n"))
 
 
-@query()
+@query(
+    _features_sql(
+        f"""select s.key as doc_id, cast(ceil(coalesce(any_value(t.total), 0)) as bigint) as at_most from src s left join (
+            select key, list_reduce(list(n * cost order by place), lambda a, b: a + b) as total
+            from counters join (values {_COST_ROWS}) c(place, class, cost) using (class) group by key) t using (key) group by s.key"""
+    )
+)
 def estimate_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = estimate.with_features(_docs(spark, sf_dir), _columns(spark), "text")
+    rows = _docs(spark, sf_dir).select("doc_id", estimate.features(_columns(spark), F.col("text")).alias("features"))
     return rows.select("doc_id", estimate.estimate(F.col("features")).cast("long").alias("at_most"))
 
 
 @query()
 def estimate_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = estimate.truncated(_docs(spark, sf_dir), _columns(spark), "text", "doc_id", 200)
+    cut = _docs(spark, sf_dir).select("doc_id", estimate.truncated(_columns(spark), F.col("text"), 200).alias("t"))
     return cut.select(
         "doc_id",
-        F.octet_length("kept").cast("long").alias("kept_bytes"),
-        F.col("total").cast("long").alias("total"),
-        F.col("estimate").cast("long").alias("estimate"),
+        F.octet_length("t.text").cast("long").alias("kept_bytes"),
+        F.col("t.total").cast("long").alias("total"),
+        F.col("t.kept").cast("long").alias("estimate"),
     )
 
 
+_CLASS_SQL = f"""select piece, {_CLASS} as class
+    from (select piece, regexp_extract(piece, '[{_SCRIPTS}]') as first from (
+        select distinct unnest({oracle.split("qwen")}) as piece from documents))"""
+
+
+@query(_CLASS_SQL)
+def piece_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every distinct piece, as a Catalyst expression."""
+    each = _docs(spark, sf_dir).select(F.explode(grammar.pieces(F.col("text"), "qwen")).alias("piece")).distinct()
+    return each.select("piece", estimate.classify(F.col("piece")).alias("class"))
+
+
 # other tables and streams
 
 

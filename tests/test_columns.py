@@ -115,15 +115,24 @@ def test_classes(spark):
     assert [got[p] for p in pieces[-7:]] == ["cjk", "latinx", "cyr", "astral", "hangul", "fullwidth", "space"]
 
 
+def test_classes_of_any_pieces(spark):
+    pieces = sorted({p for t in texts(800, 21) for p in grammar.grammar("qwen").split(t)})
+    named = spark.createDataFrame([(p,) for p in pieces], "p string").select("p", estimate.classify(F.col("p")).alias("c"))
+    assert all(r.c == estimate.class_of(r.p) for r in named.collect())
+
+
 def test_estimates(columns, rows):
-    counted = estimate.with_features(rows, columns, "text").withColumn("n", estimate.estimate(F.col("features")))
+    counted = rows.select("doc_id", estimate.features(columns, F.col("text")).alias("f")).withColumn("n", estimate.estimate(F.col("f")))
     got = {r.doc_id: r for r in counted.collect()}
-    assert got[1].n == 0 and got[0].features is None and len(got[2].features) == len(estimate.CLASSES)
+    assert got[1].n == 0 and got[0].f is None and len(got[2].f) == len(estimate.CLASSES)
     assert got[2].n >= columns.encoding.count("hello world")
-    cut = {r.doc_id: r for r in estimate.truncated(rows.filter("text is not null"), columns, "text", "doc_id", 50).collect()}
-    for doc_id, r in cut.items():
-        assert dict(ODD)[doc_id].startswith(r.kept) and r.estimate <= 50 and r.total == got[doc_id].n
-    assert cut[4].kept and cut[4].kept != dict(ODD)[4]
+    for r in rows.select("doc_id", estimate.truncated(columns, F.col("text"), 50).alias("t")).collect():
+        text = dict(ODD)[r.doc_id]
+        if text is None:
+            assert r.t is None
+            continue
+        assert text.startswith(r.t.text) and r.t.kept <= 50 and r.t.total == got[r.doc_id].n
+        assert (r.t.text == text) == (r.t.total <= 50)
 
 
 def test_streams_count_as_batches_do(spark, columns):
