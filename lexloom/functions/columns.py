@@ -27,6 +27,7 @@ TRUNCATED = T.StructType(
     ]
 )
 _WORKER: dict[str, Encoding] = {}
+_SENT: dict = {}
 
 
 def _encoding(broadcast) -> Encoding:
@@ -38,7 +39,11 @@ def _encoding(broadcast) -> Encoding:
 class Columns:
     def __init__(self, spark: SparkSession, encoding: Encoding):
         self.spark, self.encoding = spark, encoding
-        self._sent = spark.sparkContext.broadcast(encoding)
+        # One broadcast for an encoding and application, however often it is used.
+        key = spark.sparkContext.applicationId, encoding.fingerprint
+        if key not in _SENT:
+            _SENT[key] = spark.sparkContext.broadcast(encoding)
+        self._sent = _SENT[key]
 
     def _over(self, of, kind):
         """An iterator function: of(encoding) is made once a task, then mapped over texts."""
