@@ -17,7 +17,6 @@ from lexloom.functions import grammar
 from lexloom.operators.registry import Encoding, unnormalized_class
 
 IDS = T.ArrayType(T.IntegerType(), containsNull=False)
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 TRUNCATED = T.StructType(
     [
         T.StructField("text", T.StringType()),
@@ -128,8 +127,11 @@ class Columns:
         """(start, end) of each id's part of the text."""
         if unit not in ("byte", "char"):
             raise ValueError("unit is 'byte' or 'char'")
-        pairs = lambda e: lambda x: [{"start": a, "end": b} for a, b in e.offsets(x, unit)[1]]
-        return self._over(pairs, SPANS)(text)
+        # Plain numbers cross from Python; the pairs are made in Catalyst.
+        bounds = self._over(lambda e: lambda x: e.bounds(x, unit), IDS)(text)
+        most = F.greatest(F.size(bounds) - 1, F.lit(0))
+        pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+        return F.zip_with(F.slice(bounds, F.lit(1), most), F.slice(bounds, F.lit(2), most), pair)
 
     # decoding
 

@@ -14,7 +14,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 from lexloom.functions.grammar import grammar
 from lexloom.operators import kernel
@@ -211,26 +211,30 @@ class Encoding:
         refused = named(disallowed_special)
         return allowed, every - allowed if refused is None else refused
 
-    def offsets(self, text: str, unit: str = "byte") -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids, and the span of each in bytes or code points; spans tile the text."""
+    @cached_property
+    def _widths(self) -> dict[str, dict[int, int]]:
+        """Bytes, and characters that begin, in each token."""
+        leads = {i: sum((b & 0xC0) != 0x80 for b in t) for i, t in self.tokens.items()}
+        return {"byte": {i: len(t) for i, t in self.tokens.items()}, "char": leads}
+
+    def bounds(self, text: str, unit: str = "byte") -> list[int]:
+        """Where tokens meet, from 0 to the text's end, in bytes or code points."""
         if unit not in ("byte", "char"):
             raise ValueError("unit is 'byte' or 'char'")
         text = repair(text)
         ids = self.encode_ordinary(text)
-        data = text.encode()
-        if self.fold:
-            sizes = self._unfolded(text, [len(self.tokens[i]) for i in ids])
-        else:
-            sizes = [len(self.tokens[i]) for i in ids]
-        bounds = [0]
-        for size in sizes:
-            bounds.append(bounds[-1] + size)
-        if unit == "char":
-            before = [0]
-            for b in data:
-                before.append(before[-1] + ((b & 0xC0) != 0x80))
-            bounds = [before[b] for b in bounds]
-        return ids, list(zip(bounds[:-1], bounds[1:]))
+        if not self.fold or "▁" not in text:
+            return list(accumulate(map(self._widths[unit].__getitem__, ids), initial=0))
+        found = list(accumulate(self._unfolded(text, [len(self.tokens[i]) for i in ids]), initial=0))
+        if unit == "byte":
+            return found
+        before = list(accumulate(((b & 0xC0) != 0x80 for b in text.encode()), initial=0))
+        return [before[b] for b in found]
+
+    def offsets(self, text: str, unit: str = "byte") -> tuple[list[int], list[tuple[int, int]]]:
+        """Ids, and the span of each; spans tile the text."""
+        found = self.bounds(text, unit)
+        return self.encode_ordinary(text), list(zip(found[:-1], found[1:]))
 
     @staticmethod
     def _unfolded(text: str, sizes: list[int]) -> list[int]:
