@@ -9,17 +9,19 @@ one bit, and the Hamming distance of two sketches never exceeds the symmetric
 difference. With m = D + 1 at least one segment of a linked pair is untouched,
 so its key (XOR of the full hashes and the word) is equal in both.
 
-Empty segments say nothing, so m is D + 1 + SPARE: a linked pair then has more
-than SPARE equal segments, and a set with at most SPARE empty ones may leave
-those out. (If either set of a linked pair has at most SPARE empty segments,
-one equal segment at least isn't empty. If both have more, both emit them.)
+Empty segments say nothing, so m is D + 1 + spare, where spare is about what a
+set of the band's smallest size leaves empty: a linked pair then has more than
+spare equal segments. If either set has at most spare empty ones, an equal
+segment isn't empty. A set with more deals its shingles out again under another
+seed, up to SEEDS times; of a linked pair either one has few empty segments under
+a seed that both use, or both come to the last seed and emit the empty ones too.
 
 Sizes are cut into bands; a set emits keys for its own band, and, if it is
 large enough to link to a set of the next band, with that band's m too.
 
 Equal sets are one class from the start, so copies are never paired, and groups
 of classes that share a key are kept once where several keys gather the same.
-Within a group the classes' whole-set parity sketches (about four bits a shingle,
+Within a group the classes' whole-set parity sketches (two to four bits a shingle,
 folded to one length) are compared; a pair whose Hamming distance is over D can't
 be linked. First only a forest of the remaining pairs is verified on the sets
 themselves, one pair for each two parts of a group that it would join. Then, in
@@ -42,7 +44,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +54,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-#: Equal segments required above the one that pigeonhole promises.
-SPARE = 2
+#: Dealings of shingles to segments before empty segments count as keys.
+SEEDS = 4
 #: Sizes of a band, largest by smallest.
 BAND = 1.5
 #: Rows of doc_ids that may be broadcast (16 bytes each); above it they are shuffled.
@@ -59,7 +63,7 @@ BROADCAST_ROWS = 500_000
 #: Classes of a group that are compared in one task, bits of a class's sketch for
 #: each shingle (to the next power of two), and at least.
 GROUP_MOST = 4096
-SKETCH_BITS, SKETCH_LEAST = 4, 64
+SKETCH_BITS, SKETCH_LEAST = 2, 64
 #: Classes that are compared with a pivot in one place.
 PER_PIVOT = 512
 #: Words whose hash a worker keeps, and classes a task remembers to have emitted.
@@ -149,9 +153,22 @@ def bands(size: int, rule: Rule) -> list[tuple[int, int]]:
     return found
 
 
-def sketch(grams: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=None)
+def layout(band: int, most: int) -> tuple[int, int]:
+    """(segments, spare) of a band: spare is what the band's smallest sets leave empty
+    on average and a standard deviation more."""
+    spare = 0
+    while True:
+        segments = most + 1 + spare
+        empty = segments * math.exp(-(BAND**band) / segments)
+        if spare >= empty + math.sqrt(empty):
+            return segments, spare
+        spare += 1
+
+
+def sketch(grams: np.ndarray, segments: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segments that hold shingles, their parity words, their XOR of hashes)."""
-    mixed = mix(grams ^ _U(segments))
+    mixed = mix(grams ^ _U(segments + (seed << 32)))
     at = (mixed >> _U(32)) % _U(segments)
     order = np.argsort(at, kind="stable")
     at, mixed = at[order], mixed[order]
@@ -185,16 +202,19 @@ def near(sketches: np.ndarray, sizes: np.ndarray, k: int, others: np.ndarray, ru
 
 
 def keys(grams: np.ndarray, rule: Rule) -> np.ndarray:
-    """All join keys of a set, each a hash of band, segment, word and XOR."""
+    """All join keys of a set, each a hash of band, seed, segment, word and XOR."""
     out = []
     for band, most in bands(len(grams), rule):
-        segments = most + 1 + SPARE
-        where, word, xor = sketch(grams, segments)
-        tag = mix(where ^ (_U(band + 1) << _U(40)))
-        out.append(mix(tag ^ mix(word ^ mix(xor))))
-        if segments - len(where) > SPARE:
+        segments, spare = layout(band, most)
+        for seed in range(SEEDS):
+            space = _U((band + 1) * SEEDS + seed) << _U(40)
+            where, word, xor = sketch(grams, segments, seed)
+            out.append(mix(mix(where ^ space) ^ mix(word ^ mix(xor))))
+            if segments - len(where) <= spare:
+                break
+        else:
             empty = np.setdiff1d(np.arange(segments, dtype=np.uint64), where)
-            out.append(mix(mix(empty ^ (_U(band + 1) << _U(40))) ^ _M2))
+            out.append(mix(mix(empty ^ space) ^ _M2))
     return np.concatenate(out).view(np.int64)
 
 
