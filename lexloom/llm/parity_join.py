@@ -156,14 +156,18 @@ def bands(size: int, rule: Rule) -> list[tuple[int, int]]:
 @lru_cache(maxsize=None)
 def layout(band: int, most: int) -> tuple[int, int]:
     """(segments, spare) of a band: spare is what the band's smallest sets leave empty
-    on average and a standard deviation more."""
-    spare = 0
+    on average and a standard deviation more. Sets of a few shingles leave more
+    empty than any spare; theirs is the one that falls short by least."""
+    spare, least = 0, math.inf
     while True:
         segments = most + 1 + spare
         empty = segments * math.exp(-(BAND**band) / segments)
-        if spare >= empty + math.sqrt(empty):
+        short = empty + math.sqrt(empty) - spare
+        if short >= least:
+            return segments - 1, spare - 1
+        if short <= 0:
             return segments, spare
-        spare += 1
+        spare, least = spare + 1, short
 
 
 def sketch(grams: np.ndarray, segments: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,5 +1,7 @@
 import itertools
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -106,3 +108,22 @@ def test_linked_sets_share_a_key():
         b = np.unique(np.r_[rng.permutation(a)[drop:], rng.integers(0, 1 << 60, rng.integers(0, 6)).astype(np.uint64)])
         if len(b) and parity_join.linked(a, b, rule):
             assert np.intersect1d(parity_join.keys(a, rule), parity_join.keys(b, rule)).size
+
+
+@pytest.mark.parametrize("rule", [Rule(4, 85, 100), Rule(5, 80, 100)])
+def test_sets_of_every_size_have_keys_and_share_them(rule):
+    code = f"from lexloom.llm.parity_join import *; [layout(*b) for n in range(1, 3000) for b in bands(n, Rule{rule.words, rule.num, rule.den})]"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60)  # a layout that never ends fails here
+    rng = np.random.default_rng(4)
+    for size in range(1, 120):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 60, size).astype(np.uint64))
+            own = parity_join.keys(a, rule)
+            assert len(own)
+            for gone in range(size):
+                b = a[gone:]
+                c = np.sort(np.r_[b, rng.integers(1 << 60, 1 << 61, gone).astype(np.uint64)])
+                near = [x for x in (b, c) if parity_join.linked(a, x, rule)]
+                if not near:
+                    break
+                assert all(np.intersect1d(own, parity_join.keys(x, rule)).size for x in near)
