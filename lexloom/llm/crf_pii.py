@@ -12,8 +12,9 @@ added spans clear of every base span are kept.
 The field reads windows: every digit, at sign or written-out "at" in the text
 opens one that reaches WINDOW characters to both sides and on to white space;
 windows that touch are one. A token without such a sign in reach is never part
-of an added span, so nothing else needs decoding. Very long windows are decoded
-in stretches of at most STRETCH tokens that overlap by OVERLAP.
+of an added span, so nothing else needs decoding. Long windows are cut to
+stretches of at most STRETCH tokens; each is decoded from every label that may
+come before it, and the stretches are joined to the whole window's likeliest path.
 
 Null texts count as empty and have no span. Repeated rows give equal rows; an
 empty table gives none; other columns are ignored.
@@ -35,7 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = ("email", "phone", "secret")
 ORDER = {kind: k for k, kind in enumerate((*KINDS, "secret"))}
 LABELS = ("O", *(f"{p}-{k}" for k in ADDED for p in "BI"))
-WINDOW, STRETCH, OVERLAP = 48, 256, 32
+WINDOW, STRETCH = 48, 256
 SCHEMA = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 )
@@ -247,6 +248,39 @@ class Field:
                 label = np.where(t < lengths, back[t - 1][np.arange(len(label)), label], label)
         return [row[:size].tolist() for row, size in zip(out, lengths)]
 
+    def decode_parts(self, batch: list[list[list[str]]], opens: list[bool]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each stretch of a sequence and each label before it (of no account if it
+        opens the sequence): scores [before, last] and the label before each, [t, before, label]."""
+        ids, lengths = self._ids(batch)
+        score, move = self.emit[ids].sum(2), self.move + self.forbid
+        start = np.where(np.array(opens)[:, None, None], self.first, move)
+        best = start + score[:, 0, None, :]
+        back = np.zeros((*ids.shape[:2], len(LABELS), len(LABELS)), np.int8)
+        for t in range(1, ids.shape[1]):
+            each = best[:, :, :, None] + move
+            back[:, t] = each.argmax(2)
+            grown = each.max(2) + score[:, t, None, :]
+            best = np.where((t < lengths)[:, None, None], grown, best)
+        return [(best[n], back[n, :size]) for n, size in enumerate(lengths)]
+
+    @staticmethod
+    def join(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+        """The likeliest labels of a sequence from its stretches in order."""
+        best, before = parts[0][0][0], []
+        for scores, _ in parts[1:]:
+            each = best[:, None] + scores
+            before.append(each.argmax(0))
+            best = each.max(0)
+        label, out = int(best.argmax()), []
+        for k in range(len(parts) - 1, -1, -1):
+            entry, own = (int(before[k - 1][label]) if k else 0), label
+            back = parts[k][1]
+            for t in range(len(back) - 1, -1, -1):
+                out.append(own)
+                own = int(back[t, entry, own])
+            label = entry
+        return out[::-1]
+
     @classmethod
     def train(cls, rows: list[tuple[list[list[str]], list[int]]], steps: int = 120, rate: float = 0.15) -> Field:
         names: dict[str, int] = {}
@@ -345,32 +379,58 @@ def field() -> Field:
 
 def added_spans(texts: list[str], model: Field) -> list[list[Span]]:
     """The field's spans in each text, by start."""
-    jobs: list[tuple[int, list[tuple[str, int, int]], int]] = []
+    jobs: list[tuple[int, list[tuple[str, int, int]]]] = []
     for k, text in enumerate(texts):
         for low, high in windows(text):
             found = tokenize(text, low, high)
-            for at in range(0, max(1, len(found) - OVERLAP), STRETCH - OVERLAP):
-                part = found[at : at + STRETCH]
-                if part:
-                    jobs.append((k, part, OVERLAP // 2 if at else 0))
+            if found:
+                jobs.append((k, found))
     out: list[list[Span]] = [[] for _ in texts]
     jobs.sort(key=lambda j: len(j[1]))
-    for low in range(0, len(jobs), 256):
-        some = jobs[low : low + 256]
-        decoded = model.decode([features(tokens) for _, tokens, _ in some])
-        for (k, tokens, skip), labels in zip(some, decoded):
-            open_span = None
-            for t, (token, label) in enumerate(zip(tokens, labels)):
-                name = LABELS[label]
-                if name[0] == "I" and open_span:
-                    open_span[2] = token[2]
-                    continue
-                if open_span:
-                    out[k].append(tuple(open_span))
-                open_span = [name[2:], token[1], token[2]] if name[0] == "B" and t >= skip else None
-            if open_span:
-                out[k].append(tuple(open_span))
-    return [sorted(set(s), key=lambda x: (x[1], x[2], x[0])) for s in out]
+    short = sum(len(tokens) <= STRETCH for _, tokens in jobs)
+    for low in range(0, short, 256):
+        some = jobs[low : min(low + 256, short)]
+        for (k, tokens), labels in zip(some, model.decode([features(tokens) for _, tokens in some])):
+            out[k] += _spans(tokens, labels)
+    for (k, tokens), labels in zip(jobs[short:], _decode_long([tokens for _, tokens in jobs[short:]], model)):
+        out[k] += _spans(tokens, labels)
+    return [sorted(s, key=lambda x: (x[1], x[2], x[0])) for s in out]
+
+
+def _decode_long(sequences: list[list[tuple[str, int, int]]], model: Field):
+    """The likeliest labels of each sequence, decoded in stretches of many at once."""
+    parts: list[list] = [[] for _ in sequences]
+    cuts, done = [], 0
+    for n, tokens in enumerate(sequences):
+        count = -(-len(tokens) // STRETCH)
+        bounds = [len(tokens) * c // count for c in range(count + 1)]
+        cuts += [(n, a, b) for a, b in zip(bounds, bounds[1:])]
+    for low in range(0, len(cuts), 256):
+        some, named = cuts[low : low + 256], []
+        for n, a, b in some:
+            first = max(0, a - 2)  # a token's features reach two tokens to both sides
+            named.append(features(sequences[n][first : b + 2])[a - first : b - first])
+        for (n, _, _), part in zip(some, model.decode_parts(named, [a == 0 for _, a, _ in some])):
+            parts[n].append(part)
+        # Sequences come in order: all but the last met are complete.
+        stop = len(sequences) if low + 256 >= len(cuts) else some[-1][0]
+        for n in range(done, stop):
+            yield model.join(parts[n])
+            parts[n] = []
+        done = max(done, stop)
+
+
+def _spans(tokens: list[tuple[str, int, int]], labels: list[int]) -> list[Span]:
+    out, open_span = [], None
+    for token, label in zip(tokens, labels):
+        name = LABELS[label]
+        if name[0] == "I" and open_span:
+            open_span[2] = token[2]
+            continue
+        if open_span:
+            out.append(tuple(open_span))
+        open_span = [name[2:], token[1], token[2]] if name[0] == "B" else None
+    return out + [tuple(open_span)] if open_span else out
 
 
 def find(texts: list[str | None], model: Field) -> list[tuple[list[Span], list[Span]]]:

@@ -168,6 +168,21 @@ def test_the_field_adds_spans_clear_of_base_ones():
     assert crf_pii.mask("a x@y.zz b", got_spans := crf_pii.base_spans("a x@y.zz b")) == "a <EMAIL> b" and got_spans
 
 
+@pytest.mark.parametrize("secret", ["212-555-0199", "(212) 555-0199", "jane (at) example (dot) com", "jane.of.the.long.river.house (at) example (dot) com"])
+def test_long_windows_are_decoded_whole(secret):
+    model = crf_pii.field()
+    texts = [" ".join([*(["river", "7"] * 300)[:at], "write to", secret, *["river", "7"] * 150]) for at in range(180, 280)]
+    found = crf_pii.added_spans(texts, model)
+    for text, got in zip(texts, found):
+        assert any(text[a:b] == secret for _, a, b in got)
+        assert secret.split()[-1] not in crf_pii.mask(text, crf_pii.find([text], model)[0][1])
+    for text, got in zip(texts, found):
+        (window,) = crf_pii.windows(text)
+        tokens = crf_pii.tokenize(text, *window)
+        (labels,) = model.decode([crf_pii.features(tokens)])
+        assert len(tokens) > crf_pii.STRETCH and got == crf_pii._spans(tokens, labels)
+
+
 def test_personal_data_of_odd_rows(documents, odd):
     got = {r.doc_id: r for r in crf_pii.scan(documents(odd)).collect()}
     assert got[9].n_email == 1 and got[9].n_phone == 1 and got[1].spans == "" and got[8].n_card == 0
