@@ -8,8 +8,9 @@ trees of hyperplanes cut the space, and within a cell (split by hash where it is
 over CELL_MOST) all are compared. Then NN-descent: a node's sampled neighbours,
 forward and reverse, new and old, are joined to it with their vectors, compared
 with each other, and each of them keeps what beats its list. Rounds end when few
-entries change. Vectors travel as one byte a component here; only the order of
-the lists depends on that.
+entries change. Vectors travel as one byte a component here, each with its own
+scale, so large vectors take nothing from small ones; only the order of the lists
+depends on that. A list's scores are inner products over its node's own scale.
 
 Search. A query starts from the lists of its own node and keeps a beam of the
 best nodes seen. Each round the best unexpanded nodes are expanded through the
@@ -94,6 +95,20 @@ def _matrix(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
 
 
+def _pack(vectors: np.ndarray, largest: float) -> list[bytes]:
+    """One byte a component of each vector by its own largest one, after that one's float32
+    share of the largest of all."""
+    scale = np.abs(vectors).max(1)
+    small = np.rint(vectors / scale[:, None] * 127).astype(np.int8)
+    return [s.tobytes() + r.tobytes() for s, r in zip((scale / largest).astype(np.float32), small)]
+
+
+def _unpack(column) -> tuple[np.ndarray, np.ndarray]:
+    """Scales, and components from -127 to 127, of what _pack made."""
+    raw = _matrix(column, np.int8)
+    return np.ascontiguousarray(raw[:, :4]).view(np.float32)[:, 0], raw[:, 4:].astype(np.float32)
+
+
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys starts, and the end."""
     if not len(sorted_keys):
@@ -163,8 +178,7 @@ def _start(nodes: DataFrame, plan: Plan, count: int, blocks: int, scale: float)
     def deal(batches):
         for batch in batches:
             vectors = _matrix(batch.column(1), np.float64)
-            small = np.clip(np.rint(vectors / scale * 127), -127, 127).astype(np.int8)
-            rows = pa.array([r.tobytes() for r in small], pa.binary())
+            rows = pa.array(_pack(vectors, scale), pa.binary())
             for tree in range(max(1, len(planes))):
                 cell = np.zeros(len(vectors), np.int64)
                 if planes:
@@ -174,13 +188,13 @@ def _start(nodes: DataFrame, plan: Plan, count: int, blocks: int, scale: float)
                 )
 
     def compare(table):
-        ids, small = _ints(table.column("node")), _matrix(table.column("small"), np.int8).astype(np.float32)
+        ids, (scales, small) = _ints(table.column("node")), _unpack(table.column("small"))
         most = min(plan.neighbours, len(ids) - 1)
         if most < 1:
             return _table([[], [], [], []], ["blk", "node", "ids", "scores"], "llbb")
         near, best = [], []
         for low in range(0, len(ids), 512):
-            gram = small[low : low + 512] @ small.T
+            gram = (small[low : low + 512] @ small.T) * scales
             gram[np.arange(len(gram)), np.arange(low, low + len(gram))] = -np.inf
             pick = np.argpartition(-gram, most - 1, axis=1)[:, :most]
             near += [r.tobytes() for r in ids[pick]]
@@ -312,7 +326,7 @@ def _descend(graph: DataFrame, plan: Plan, blocks: int) -> DataFrame:
     def compare(table):
         owner, member = _ints(table.column("owner")), _ints(table.column("member"))
         fresh, least = _ints(table.column("fresh")), table.column("least").to_numpy()
-        small = _matrix(table.column("small"), np.int8)
+        scales, small = _unpack(table.column("small"))
         order = np.lexsort((-fresh, member, owner))
         keep = np.r_[True, (owner[order][1:] != owner[order][:-1]) | (member[order][1:] != member[order][:-1])]
         order = order[keep]
@@ -324,14 +338,15 @@ def _descend(graph: DataFrame, plan: Plan, blocks: int) -> DataFrame:
             new = int(fresh[rows].sum())
             if not new or len(rows) < 2:
                 continue
-            vectors, limit, ids = small[rows].astype(np.float32), least[rows], member[rows]
-            gram = vectors[:new] @ vectors.T
+            vectors, scale, limit, ids = small[rows], scales[rows], least[rows], member[rows]
+            products = vectors[:new] @ vectors.T
+            gram = products * scale
             gram[np.arange(new), np.arange(new)] = -np.inf
             x, y = np.nonzero(gram > limit[:new, None])
             us.append(ids[x])
             ws.append(ids[y])
             ss.append(gram[x, y])
-            back = gram[:, new:]
+            back = products[:, new:] * scale[:new, None]
             x, y = np.nonzero(back > limit[None, new:])
             us.append(ids[new:][y])
             ws.append(ids[x])
@@ -368,10 +383,10 @@ def build(nodes: DataFrame, plan: Plan, count: int, blocks: int) -> DataFrame:
 
     def empty(batches):
         for batch in batches:
-            small = np.clip(np.rint(_matrix(batch.column(2), np.float64) / scale * 127), -127, 127).astype(np.int8)
+            small = _pack(_matrix(batch.column(2), np.float64), scale)
             none = [b""] * len(small)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in small], pa.binary())]
+                [batch.column(0), batch.column(1), pa.array(small, pa.binary())]
                 + [pa.array(none, pa.binary())] * 3
                 + [pa.array(np.zeros(len(small), np.int64))],
                 names=["blk", "node", "small", "ids", "scores", "fresh", "changed"],

@@ -95,6 +95,27 @@ def test_search_against_brute_force(spark):
     assert np.mean(found) >= 0.9
 
 
+@pytest.mark.parametrize("uneven", ["one large vector", "all norms"])
+def test_search_over_uneven_norms(spark, uneven):
+    rng = np.random.default_rng(6)
+    data = rng.standard_normal((3000, 24))
+    if uneven == "all norms":
+        data *= np.exp(1.5 * rng.standard_normal(3000))[:, None]
+    else:
+        data[7] *= 1000
+    data = data.astype(np.float32)
+    rows = [(k, [float(x) for x in v], 0) for k, v in enumerate(data)]
+    found = {}
+    for r in graph_search.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    shares = []
+    for q in range(0, 3000, 20):
+        scores = data.astype(np.float64) @ data[q].astype(np.float64)
+        scores[q] = -np.inf
+        shares.append(len(found[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(shares) >= 0.9
+
+
 def test_few_or_no_vectors(spark):
     few = [(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (20, [1.0, 1.0], 0)]
     got = graph_search.nearest(vectors(spark, few), F.col("vec_id") % 20 == 0, 20).collect()
