@@ -61,12 +61,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (unit tests, one machine) a temporary
-    folder is set for the life of the context.
+    Only where the session names none and runs on one machine a temporary folder is
+    set for the life of the context; on a cluster that is an error, for executors
+    would write where no other can read.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='lexloom-')}"
         context.setCheckpointDir(named)
     return named.rstrip("/")

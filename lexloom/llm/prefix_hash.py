@@ -7,22 +7,24 @@ one power), and the longest common extension of two positions is found by
 binary search.
 
 A fingerprint is text: the length, the hash of the whole text under both bases,
-and a sketch of all its spans of one size (WINDOW code points; in short texts the
-largest power of two within a quarter of the text): each span's hash, taken from
-the prefix arrays, falls into one of SLOTS slots, which keeps its smallest
-value. The likeness of two fingerprints is the share of slots that agree among
-those that either fills, an estimate of the Jaccard similarity of the two sets of
-spans. Equal texts
-have equal fingerprints, so their likeness is 1; two empty texts are alike.
+and a sketch of all its spans of WINDOW code points. The text stands between
+WINDOW - 1 blanks on either side, so a text of any size, shorter ones too, has spans,
+and texts that begin or end alike share some: each span's hash, taken from the prefix
+arrays, falls into one of SLOTS slots, which keeps its smallest value. The likeness
+of two fingerprints is the share of slots that agree among those that either fills,
+an estimate of the Jaccard similarity of the two sets of spans. Equal texts have
+equal fingerprints, so their likeness is 1; two empty texts are alike.
 
 The edited text of a document takes its second half from the next document in
 ascending doc_id (ties by text, nulls first; after the last comes the first).
 Documents are dealt to ranges of doc_id whose bounds are quantiles, and the
 first document of a range is sent to the range before it too, so each range is
-read as one sorted stream that holds two texts at a time.
+read as one sorted stream that holds two texts at a time. There are as many ranges
+as keep RANGE_BYTES of text in each, and more executors' worth where that is fewer.
 
-Null texts count as empty; an empty table gives no row; other columns are
-ignored.
+Null texts count as empty; repeated rows are rows of their own, next to each other;
+a very long text costs memory in proportion, about 60 bytes a code point, in the one
+task that holds it; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ PRIME = (1 << 31) - 1
 BASES = (911_382_323, 972_663_749)
 WINDOW = 16
 SLOTS = 64
+#: Text of a range, on average.
+RANGE_BYTES = 16 << 20
 _P, _S = np.uint64(PRIME), np.uint64(31)
 _POWERS: dict[int, np.ndarray] = {}
 _INVERSES: dict[int, np.ndarray] = {}
@@ -97,11 +101,13 @@ class PrefixHash:
         return tuple(out)
 
     def windows(self, size: int) -> np.ndarray:
-        """Hashes of all spans of one size, both bases in one 62-bit number."""
-        count = self.size - size + 1
+        """Hashes of all spans of one size, both bases in one 62-bit number. Spans may
+        hang over either end of the text, where blanks stand, which add nothing."""
+        count = self.size + size - 1 if self.size else 0
         out = np.zeros(count, np.uint64)
         for base, prefix in zip(self.bases, self.prefix):
-            gap = _reduce(prefix[size:] + _P - prefix[:count])
+            over = np.concatenate([np.zeros(size - 1, np.uint64), prefix, np.full(size - 1, prefix[-1])])
+            gap = _reduce(over[size : size + count] + _P - over[:count])
             inverse = _powers(pow(base, -1, PRIME), count, _INVERSES)
             out = (out << _S) | _reduce(gap * inverse)
         return out
@@ -127,15 +133,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window(size: int) -> int:
-    """Code points of the spans that a text of this size is sketched by."""
-    return min(WINDOW, 1 << max(0, (size // 4).bit_length() - 1))
-
-
 def sketch(hashes: PrefixHash) -> np.ndarray:
     """The smallest mixed span hash of each slot, 32 bits; all ones where none fell."""
-    spans = hashes.windows(window(hashes.size)) if hashes.size else np.empty(0, np.uint64)
-    mixed = _mix(spans)
+    mixed = _mix(hashes.windows(WINDOW))
     slots = np.full(SLOTS, 0xFFFFFFFF, np.uint32)
     np.minimum.at(slots, (mixed & np.uint64(SLOTS - 1)).astype(np.intp), (mixed >> np.uint64(32)).astype(np.uint32))
     return slots
@@ -213,10 +213,11 @@ def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """See SCHEMA; common_prefix is what text and edited text share from the start."""
     docs = common.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = common.partitions(docs.sparkSession)
-    dealt = _dealt(docs, 8 * parts)
+    size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    ranges = max(common.partitions(docs.sparkSession), -(-size // RANGE_BYTES))
     # Within a range: own rows in order, then the following range's first.
-    streams = dealt.repartition(parts, "target").sortWithinPartitions("target", F.desc("own"), "doc_id", "text")
+    streams = _dealt(docs, ranges).repartitionById(ranges, F.col("target").cast("int"))
+    streams = streams.sortWithinPartitions("target", F.desc("own"), "doc_id", "text")
 
     def run(batches):
         held, rows = None, []
