@@ -18,12 +18,13 @@ letter; three or more single letters in a row are a word too. A word over WIDTH
 letters is read in overlapping stretches, none is left out. A worker rates each
 new token once, in numpy batches, and keeps the ratings.
 
-Training reads a bounded sample: up to about SAMPLE_DOCS texts of each label, of
-at most SAMPLE_CHARS characters, chosen by a hash of doc_id. Scores come from
-the text alone. A null, empty or wordless text has the score of the lowest word
-rating. Without labelled texts of both kinds every score is 0. Repeated rows
-give equal rows, of several labels for one doc_id the largest counts, an empty
-table gives no row, other columns are ignored.
+Training reads a bounded sample: about SAMPLE_DOCS documents of each label and never
+more than SAMPLE_MOST in all, chosen by a hash of doc_id, each by the distinct words
+of its whole text; of several texts under one doc_id the one of smallest hash, of
+several labels the largest. Scores come from the text alone. A null, empty or
+wordless text has the score of the lowest word rating. Without labelled texts of both
+kinds every score is 0. Repeated rows give equal rows, an empty table gives no row,
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 SAMPLE_DOCS = 1500
-SAMPLE_CHARS = 6000
+SAMPLE_MOST = 4 * SAMPLE_DOCS
 LANDMARKS_TOXIC, LANDMARKS_NEAR, LANDMARKS_OTHER = 48, 40, 40
 ORDER = 3
 DECAY = 0.6
@@ -51,6 +52,8 @@ ROUNDS = 4
 SURE, DOUBTFUL = 4.0, 2.0
 RIDGE = 1e-4
 MEMO_TOKENS = 600_000
+#: Entries of a table of triples that is indexed directly; a larger one is searched.
+TABLE_MOST = 1 << 22
 LOWEST = -4.0
 
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -72,6 +75,11 @@ def units(token: str) -> list[str]:
     return [word[k : k + WIDTH] for k in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
 
 
+def words(text: str | None) -> list[str]:
+    """A text's distinct words, sorted."""
+    return sorted({u for t in tokens(text) for u in units(t)})
+
+
 def bounded(word: str) -> str:
     """The word between marks of its ends, which count as letters."""
     return f"^{word}$"
@@ -176,12 +184,26 @@ class Machine:
         self.letter = {c: k + 1 for k, c in enumerate(letters)}
         size = self.size = len(letters) + 1
         share = (self.whiten @ self.weights) / self.scale
-        table = np.zeros(size**ORDER)
+        found: dict[int, float] = {}
         for mark, weight in zip(self.marks, share.tolist()):
             at = [self.letter[c] for c in bounded(mark)]
             for i, j, k in combinations(range(len(at)), ORDER):
-                table[(at[i] * size + at[j]) * size + at[k]] += weight * DECAY ** (k - i + 1)
-        self.table = table.astype(np.float32)
+                triple = (at[i] * size + at[j]) * size + at[k]
+                found[triple] = found.get(triple, 0.0) + weight * DECAY ** (k - i + 1)
+        # Only triples that a landmark has are kept: their number doesn't grow with the alphabet.
+        self.triples = np.array(sorted(found), np.int64)
+        self.values = np.array([found[t] for t in self.triples.tolist()], np.float32)
+        self.table = None
+        if size**ORDER <= TABLE_MOST:
+            self.table = np.zeros(size**ORDER, np.float32)
+            self.table[self.triples] = self.values
+
+    def weigh(self, triples: np.ndarray) -> np.ndarray:
+        """The weight of each triple of letters, 0 for one that no landmark has."""
+        if self.table is not None:
+            return self.table[triples]
+        at = np.minimum(np.searchsorted(self.triples, triples), len(self.triples) - 1)
+        return np.where(self.triples[at] == triples, self.values[at], np.float32(0))
 
     def rate(self, words: list[str]) -> np.ndarray:
         """The machine's value for each word."""
@@ -189,14 +211,15 @@ class Machine:
         for k, w in enumerate(words):
             by.setdefault(len(w), []).append(k)
         own = np.sqrt(np.maximum(self_kernel(words), 1e-12)) if words else out
+        number = np.int32 if self.table is not None else np.int64
         for size, all_picks in by.items():
             i, j, k = (np.array(x) for x in zip(*combinations(range(size + 2), ORDER)))
             reach = (DECAY ** (k - i + 1)).astype(np.float32)
             step = max(1, 200_000 // len(i))
             for low in range(0, len(all_picks), step):
                 pick = all_picks[low : low + step]
-                at = np.array([[self.letter.get(c, 0) for c in bounded(words[p])] for p in pick], np.int32)
-                out[pick] = self.table[(at[:, i] * self.size + at[:, j]) * self.size + at[:, k]] @ reach
+                at = np.array([[self.letter.get(c, 0) for c in bounded(words[p])] for p in pick], number)
+                out[pick] = self.weigh((at[:, i] * self.size + at[:, j]) * self.size + at[:, k]) @ reach
         return np.maximum(out / own + self.bias, LOWEST)
 
     def chance(self, rating: float) -> float:
@@ -205,8 +228,13 @@ class Machine:
     @classmethod
     def train(cls, bags: list[tuple[int, str]], seed: int = 11) -> Machine | None:
         """From (label, text) pairs; None unless both labels occur."""
+        return cls.train_words([(y, words(x)) for y, x in bags], seed)
+
+    @classmethod
+    def train_words(cls, bags: list[tuple[int, list[str]]], seed: int = 11) -> Machine | None:
+        """From (label, distinct words) pairs."""
         rng = np.random.default_rng(seed)
-        sets = _distinct([(y, sorted({u for t in tokens(x) for u in units(t)})) for y, x in bags])
+        sets = _distinct(bags)
         good, bad = Counter(), Counter()
         for y, words in sets:
             (bad if y else good).update(words)
@@ -357,11 +385,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
     share = {y: min(1.0, SAMPLE_DOCS / counts[y]) if y in counts else 0.0 for y in (0, 1)}
     bound = F.when(F.col("toxic") == 1, F.lit(int(share[1] * (1 << 30)))).otherwise(F.lit(int(share[0] * (1 << 30))))
     sample = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= bound)
-    # About twice SAMPLE_DOCS rows at most, whatever the size of the table.
-    sample = F.broadcast(sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    texts = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    rows = texts.join(sample, "doc_id").select("doc_id", "toxic", "text").collect()
-    return Machine.train([(int(r.toxic), r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))])
+    sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # At most SAMPLE_MOST rows of two numbers, whatever the table holds.
+    sample = F.broadcast(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_MOST))
+    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.join(sample, "doc_id").groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text")
+    )
+
+    def bags(batches):
+        for batch in batches:
+            found = [words(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"]
+            )
+
+    rows = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    found = rows.mapInArrow(bags, "doc_id long, toxic int, words array<string>").collect()
+    return Machine.train_words([(r.toxic, r.words) for r in sorted(found, key=lambda r: r.doc_id)])
 
 
 def predict(docs: DataFrame, machine: Machine | None, columns: list[str]) -> DataFrame:
