@@ -37,16 +37,38 @@ def test_language_of_odd_rows(documents, odd):
     assert gru_language.predict(documents([]), net, ["doc_id"]).count() == 0
 
 
+def reference_labels(net, data):
+    """Labels of every byte of one whole text, a step at a time, in double precision."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    soft = lambda x: x / (1 + np.abs(x))
+    states = {}
+    for side, order in (("f", range(len(data))), ("b", range(len(data) - 1, -1, -1))):
+        h, u = np.zeros(gru_language.HIDDEN), p["u" + side]
+        for t in order:
+            x, n = p["w" + side][data[t]], gru_language.HIDDEN
+            z, r = (0.5 + 0.5 * soft(x[k * n : (k + 1) * n] + h @ u[:, k * n : (k + 1) * n]) for k in (0, 1))
+            h = z * h + (1 - z) * soft(x[2 * n :] + (r * h) @ u[:, 2 * n :])
+            states[side, t] = h
+    out = np.array([np.r_[states["f", t], states["b", t]] @ p["o"] + p["c"] for t in range(len(data))])
+    e = np.exp(out - out.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def bags_of(*texts):
+    return [(language, gru_language.pieces(t)) for language, t in texts]
+
+
 def test_every_byte_gets_a_label_and_gradients_are_right():
-    net = gru_language.Network.train([("a", EN), ("b", FR)])
-    ids = np.frombuffer(b"mouse", np.uint8)[None]
-    labels = net.labels(ids)
-    assert labels.shape == (1, 5, 2) and np.allclose(labels.sum(2), 1, atol=1e-5)
+    net = gru_language.Network.train(bags_of(("a", EN), ("b", FR)))
+    ids = np.frombuffer(b"mouse", np.uint8).astype(np.int64)[None]
+    labels = net.labels(ids.T)
+    assert labels.shape == (5, 1, 2) and np.allclose(labels.sum(2), 1, atol=1e-5)
+    assert np.allclose(labels[:, 0], reference_labels(net, b"mouse"), atol=1e-4)
     mask, want = np.ones((1, 5), np.float32), np.array([0])
     gradient = net._gradient(ids, mask, want)
 
     def loss():
-        return -np.log(net.labels(ids)[0, :, 0]).mean()
+        return -np.log(net.labels(ids.T)[:, 0, 0]).mean()
 
     for name, at in (("uf", (3, 5)), ("ub", (1, 30)), ("o", (2, 1)), ("wf", (ord("u"), 7))):
         step = 1e-2
@@ -58,6 +80,36 @@ def test_every_byte_gets_a_label_and_gradients_are_right():
         assert gradient[name][at] == pytest.approx((high - low) / (2 * step), abs=2e-3)
 
 
+def test_whole_texts_are_read_byte_for_byte():
+    """Every byte votes once, labelled as by a plain pass over its span and margins."""
+    net = gru_language.Network.train(bags_of(("a", EN), ("b", FR)))
+    texts = ["é", EN, f"{FR}! 12 {EN}", "x", (EN + " ") * 14 + (FR + " ") * 9, "日本 " * 70]
+    for text, got in zip(texts, net.pooled([gru_language.encoded(t) for t in texts])):
+        data = gru_language.encoded(text)
+        count, want, seen = -(-len(data) // gru_language.SPAN), 0, 0
+        for k in range(count):
+            low, high = len(data) * k // count, len(data) * (k + 1) // count
+            first, last = max(0, low - gru_language.MARGIN), min(len(data), high + gru_language.MARGIN)
+            votes = np.array([b >= 128 or chr(b).isalpha() for b in data[low:high]])
+            want = want + reference_labels(net, data[first:last])[low - first : high - first][votes].sum(0)
+            seen += votes.sum()
+        assert got.sum() == pytest.approx(seen, rel=1e-4) and np.allclose(got, want, rtol=2e-3, atol=2e-3 * seen)
+
+
+def test_rows_without_an_id_are_learnt_from_in_bounds(spark):
+    rows = spark.range(50_000).selectExpr("cast(null as long) doc_id", "concat('le chat noir ', id) text", "'fr' lang")
+    rows = rows.unionByName(spark.createDataFrame([(k, EN, "en") for k in range(400)], "doc_id long, text string, lang string"))
+    seen = []
+    train = gru_language.Network.train
+    gru_language.Network.train = lambda samples, seed=7: seen.extend(samples)
+    try:
+        gru_language.fit(rows)
+    finally:
+        gru_language.Network.train = train
+    languages = [s[0] for s in seen]
+    assert 200 < languages.count("fr") <= 2 * gru_language.SAMPLE_DOCS and languages.count("en") == 1
+
+
 def kernel_by_brute_force(a, b, order, decay):
     from itertools import combinations
 
@@ -100,6 +152,26 @@ def test_the_table_of_triples_is_the_machine():
     assert np.allclose(machine.rate(words), np.maximum(want, string_kernel.LOWEST), atol=1e-3)
 
 
+def test_words_of_any_alphabet_are_weighed_alike(monkeypatch):
+    rng = np.random.default_rng(4)
+    letters = [chr(0x4E00 + k) for k in range(2000)]
+    bags = [(k % 2, " ".join(["壞人們啊" if k % 2 else "好天氣呢", *("".join(rng.choice(letters, 6)) for _ in range(12))])) for k in range(120)]
+    machine = string_kernel.Machine.train(bags)
+    assert machine.table is None and len(machine.triples) < 400_000
+    words = ["壞人們啊", "好天氣呢", "".join(letters[:5])]
+    want = machine.vectors(words) @ machine.weights + machine.bias
+    assert np.allclose(machine.rate(words), np.maximum(want, string_kernel.LOWEST), atol=1e-3)
+
+
+def test_long_labelled_texts_are_learnt_from(spark, documents):
+    long = [(k, f"{text} " + "green hills of silver " * 400) for k, (_, text) in enumerate(toxic_bags())]
+    assert min(len(t) for _, t in long) > 7000
+    labels = spark.createDataFrame([(k, y) for k, (y, _) in enumerate(toxic_bags())] * 2, "doc_id long, toxic int")
+    machine = string_kernel.fit(documents(long + long[:20]), labels)
+    got = string_kernel.Scorer(machine).score(["you idiot", "green hills"])
+    assert got[0] >= 0.5 > got[1]
+
+
 def test_insults_are_found_with_gaps_and_inserted_letters(documents):
     machine = string_kernel.Machine.train(toxic_bags())
     texts = ["You IDIOT!", "such an id-iot here", "an i d i o t again", "a wortthless thing", "moroon", "lazy dogs flow past"]

@@ -39,10 +39,10 @@ def test_each_stage_against_its_operator_row_by_row(spark, folder):
     rows = [{r.doc_id: r.text for r in d.collect()} for _, d in steps[:4]]
     first = spark.read.parquet(f"{folder}/documents.parquet")
     rest = first.filter("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
-    net = gru_language.Scorer(gru_language.fit(rest))
+    net = gru_language.fit(rest)
     every = {r.doc_id: r.text for r in first.collect()}
     told = dict(zip(every, net.predict(list(every.values()))))
-    assert set(rows[0]) == {k for k, (lang, s) in told.items() if lang != "und" and s >= corpus_pipeline.LANGUAGE_SHARE}
+    assert set(rows[0]) == {k for k, (lang, s) in told.items() if lang != "und" and s >= corpus_pipeline.least_share(net)}
     assert not {402, 403, 404} & set(rows[0]) and len(rows[0]) > 300
 
     labels = spark.read.parquet(f"{folder}/labels.parquet").filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
