@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexloom.llm import common, crf_pii, gru_language, packing, parity_join, queries, string_kernel, tokens
 
-#: A text whose likeliest language has less than this share is in none of them.
-LANGUAGE_SHARE = 0.3
+#: A text is in none of the languages learnt if its likeliest one has less than this many
+#: times an even share of it (or less than a half, of three languages or fewer).
+LANGUAGE_TIMES = 1.4
 #: Near copies: five-word shingles, similarity 0.8 or more.
 NEAR = parity_join.Rule(words=5, num=80, den=100)
 
@@ -23,12 +24,17 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.toDF(*(c if c == "text" else f"column_{k}" for k, c in enumerate(docs.columns)))
 
 
+def least_share(net: gru_language.Network | None) -> float:
+    return min(0.5, LANGUAGE_TIMES / len(net.languages)) if net else 0.0
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts in one of the languages learnt from the labelled rows."""
     learnt = docs.filter(F.coalesce(common.remainder(F.col("doc_id"), 3) != 1, F.lit(True)))
     held = numbered(docs)
-    found = gru_language.predict(held, gru_language.fit(learnt), held.columns)
-    found = found.filter((F.col("lang_pred") != gru_language.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE))
+    net = gru_language.fit(learnt)
+    found = gru_language.predict(held, net, held.columns)
+    found = found.filter((F.col("lang_pred") != gru_language.UNKNOWN) & (F.col("score") >= least_share(net)))
     return found.select(*held.columns).toDF(*docs.columns)
 
 
