@@ -4,20 +4,20 @@ Base patterns find e-mail addresses, IPv4 addresses, card numbers (13 to 19
 digits that pass Luhn) and international phone numbers, leftmost and without
 overlap for each kind; a match that fails its test is dropped whole. The field
 adds what the patterns can't say: addresses written with "at" and "dot", phone
-numbers without a plus sign, and secrets after a word such as token or key. It
-labels tokens from word-shape features, is trained by gradient ascent on the
-small labelled table below, and decodes by Viterbi over batches in numpy. Only
-added spans clear of every base span are kept.
-
-The field reads windows: every digit, at sign or written-out "at" in the text
-opens one that reaches WINDOW characters to both sides and on to white space;
-windows that touch are one. A token without such a sign in reach is never part
-of an added span, so nothing else needs decoding. Long windows are cut to
-stretches of at most STRETCH tokens; each is decoded from every label that may
-come before it, and the stretches are joined to the whole window's likeliest path.
-
-Null texts count as empty and have no span. Repeated rows give equal rows; an
-empty table gives none; other columns are ignored.
+numbers without a plus sign, and secrets after a word such as token or password.
+It labels every token of the text from the shapes of the words around it, is trained
+by gradient ascent on the small labelled table below, and decodes by Viterbi over
+batches in numpy. Only added spans clear of every base span are kept.
+
+A token's shape is one of a fixed list (its length if digits, itself if it is a cue
+word or a sign, else its case), so what all features of a token weigh is looked up in
+tables over shapes. Long texts are cut to stretches of about STRETCH tokens: the best
+scores through a stretch from every label before it to every label at its end join
+the stretches exactly, so the path is the whole text's likeliest.
+
+Null texts count as empty and have no span. Very long texts take memory in proportion
+(about 100 bytes a token). Repeated rows give equal rows; an empty table gives none;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,16 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = ("email", "phone", "secret")
 ORDER = {kind: k for k, kind in enumerate((*KINDS, "secret"))}
 LABELS = ("O", *(f"{p}-{k}" for k in ADDED for p in "BI"))
-WINDOW, STRETCH = 48, 256
+STRETCH = 256
+#: Tokens that are decoded together, and pieces whose shape a worker keeps.
+TOGETHER, MEMO_PIECES = 300_000, 500_000
 SCHEMA = (
-    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 )
 
 # The labelled table: kind:text between braces is personal data, a run of # stands
-# for random digits, of @ for random hexadecimal digits, of ~ for random letters.
+# for random digits, of @ for random hexadecimal digits, of ~ for random letters, of ^
+# for random capitals, of & for either or digits, and of < > in guillemets for braces.
 LABELLED = """
 write to {email:~~~~ (at) ~~~~~~ (dot) com} today
 contact {email:~~~~~.~~~~ [at] ~~~~ [dot] org} for more
@@ -50,35 +54,94 @@ mail {email:~~~~## (at) mail#.~~~~~~.com} or call
 reach me: {email:~~~~~~ [at] ~~~~~~~.net}.
 {email:~~~ (at) ~~~~~ (dot) ~~} is the address
 send it to {email:~~~~~~~_~~~ (at) ~~~~~~~~.com}, please
+mail {email:~~~~ at ~~~~ dot org} now
+mail {email:~~~~ at mail dot org} now
+^~~~ {email:~~~~ at ~~~~~~~ dot com} if you like
+write to {email:~~~~~.~~~~~ at ~~~~ dot net}.
+~~~~~ ~~~ {email:~~~~~ at ~~~~~~ dot ~~~} ~~~~ ~~~
+{email:~~~~ at ~~~~~~~ dot com}
+{email:~~~~~~ at ~~~~ dot net} ~~~ ~~~~
+~~~ {email:~~~~~~ ‹at› ~~~~~ ‹dot› com} ~~~~
+~~~ {email:~~~~~~ <at> ~~~~~ <dot> org} ~~~~
+^~~~~ {email:^~~~.^~~~~ (at) ~~~~~.~~~~~ (dot) com}.
+^~~~ {email:~~~~ (AT) ~~~~~ (DOT) com} ~~~
 they met (at) noon in ~~~~~ street ##
 he was [at] ~~~~~~ that day, ####
+they met at ~~~~~ and ~~~~ at ~~~
+^~~~ ~~~ at ~~~~ ~~~ dot ~~~~ com
+at ~~~~ the dot on the map, at ~~~
+look at ~~~~~ dot and ~~~ org ~~~
+~~~ at at at at at at at at at ~~~ ~~~
+~~~ dot dot dot dot dot dot ~~~
+~~~~ ~~~~. ~~~~. ~~~~. ~~~~. ~~~~. ~~~~. ~~~~. ~~~~. ~~~~. ~~~~.
+~~~~~ ~~~~~ ~~~. ~~~. ~~~. ~~~. ~~~. ~~~. ~~~. ~~~. ~~~. ~~~. ^~ ~~~
+~~~~. ~~~~, ~~~~. ~~~~~~. ~~~ ~~~. ~~~~ ~~~~. ^~~~. ^~~. ~~~~ ~~~
+^~~. ^~~. ^~~. ^~~. ^~~. ^~~~. ^~~~. ^~~.
+~~~ ~~~ ~~~ ~~~ ~~~ ~~~ ~~~ ~~~ ~~~ ~~~ ~~~ ~~~ ~~~ ~~~ ~~~ ~~~
+# # # # # # # # # # # # # # # # #
+### ### ### ### ### ### ### ### ###
+####. ####. ####. ####. ####. ####. ####.
 call {phone:(###) ###-####} after noon
+Call {phone:###-###-####} now
+Call {phone:(###) ###-####}.
+^~~~ {phone:###-###-####}
+^~~~ ~~~~ {phone:(###) ###-####}
+^~~~~ {phone:###.###.####}, ~~~
 tel {phone:###-###-####} or write
+call ~~: {phone:###-###-####}; ~~~~; ~~~
+Tel: {phone:###-###-####}.
+^~~~~ tel: {phone:(###) ###-####}, ~~~
 phone: {phone:(###) ###-####}.
+Phone {phone:### ### ####} ~~~~
 my number is {phone:###-###-####}, ask for ~~~~~
+{phone:###-###-####} is my number
+{phone:(###) ###-####} ~~~~ ~~~~~
 ring {phone:0## #### ####} now
+^~~~~~ ring {phone:0### ### ####} ~~~
+call {phone:0### ### ####}.
+Fax {phone:0## #######} ~~~
 fax {phone:###.###.####} works too
 phone {phone:0# ## ## ## ##} le matin
 ~~~~~ ~~~~ {phone:(###) ###-####} ~~~ ~~~~~
 ~~~~~ ~~~~ {phone:###-###-####} ~~~ ~~~~~
+~~~~~. {phone:###-###-####} ~~~ ~~~~~, {phone:###-###-####}.
 token = "{secret:@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@}" ~~~~ ~~~
 ~~~~~ ~~~ token = "{secret:@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@}" ~~~~~
 ~~~ ~~~~ api_key = "{secret:@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@}" ~~~
+API_KEY={secret:@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@}
+~~~ api_key: {secret:&&&&&&&&&&&&&&&&&&&&&&&&} ~~~
+token={secret:&&&&&&&&&&&&&&&&&&&&} ~~~~
 password: {secret:~~~~##~~##} ~~~~~ ~~~
+password: {secret:~~~~~~~~~~~~} please
+Password: {secret:~~~~~~~~}
+^~~~ ~~~ password: {secret:^~~~~##}, ~~~
+password = "{secret:~~~~~~~##}" ~~~
+passwd: {secret:~~~~~~###} ~~~
+passwd={secret:~~~~~~~~}
 secret = '{secret:@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@}' ~~~
+secret: {secret:~~~~~~~~~##} ~~~
 key: {secret:@@@@@@@@@@@@@@@@@@@@@@@@} ~~~~
 the token was read on line ## of the file
 a key of ### entries and a password of # letters
+^~~ password was ~~~~, the key is ~~~~~ ~~~
+~~~~ the secret of the ~~~~, a token of ~~~~~.
+^~~ key ~~~~, ~~~: ~~~~~ and the password ~~~
+~~~~: ~~~~~ ~~~ key, ~~~~ = ~~~~~
 ~~~~~ ~~~~~~. Version #.# ~~~~ ~~~
 licensed under ~~ ~~-~~ #.#.
 licensed under the ~~~~~~ license, version #.#.
 ~~~~ ~~~~~~ license, version #.
 in #### the town had ##### people
 from #### to ####, pages ##-##
+pages ###-### of ####, see ###.
 it costs ##.## or ### in all
+^~~~ ## ~~~ ### ~~~~, ~~~ #### ~~~.
 ~~~~~ ################ ~~~~~ ~~~~
 ~~~~ ~~~ ################ ~~~ ~~~~~~
 ~~~~~, ################ ~~~~. ~~~~~
+~~~~ #### #### #### #### ~~~ ~~~
+~~~~ ####-####-####-#### ~~~
+~~~ ########## ~~~ ###########
 {phone:(###) ###-####} ################ ~~~~
 ~~~~~ ~~~ ##.###.###.## ~~~~~ ~~~~
 ~~~~~ ###.##.##.### ~~~~ ~~~
@@ -86,12 +149,21 @@ it costs ##.## or ### in all
 a table of ## by ### and ####-##-##
 at ##:## on ##/##/#### they left
 chapter #, verse ##, and (##) more
+^~~~ (####) ~~~ ##-#### ~~~
 ~~~~~ | ~~~~~ | ~~~~ # | ~~~~~
 ~~~~~.##@~~~~#.~~~~~~~.com ~~~~ ~~~
+~~~~~@~~~~~~~.com ~~~~ ~~~ at ~~~~
 +# (###) ###-#### ~~~~ ~~~~~
 ~~~~~~ +# (###) ###-#### ~~~ ################ ~~~
+~~~~ ~~~~~ ~~~ ~~~~, ~~~~~~ ~~~ ~~~~. ^~~~ ~~~ ~~~~~ ~~~
+^~~~~ ~~ ~~~~~~ ~~~ "~~~~ ~~~~" ~~~, ~~~~: ~~~ ~~~~'~ ~~~
+^~~~~~~. ^~~~~~. ^~~ ~~~~ ~~~-~~~~~ ~~~~ (~~~~~ ~~~) ~~~
+^^^^ ^^^ ^^^^^^ ~~~~ ^^^ ~~~!! ^^^^~!! ~~~
+~~~~*** ~~~$$$ ~~~,%%% ~~~~### ~~~ ~~~///
+~~~~ @@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@ ~~~~ ~~~
+~~~~/~~~~/~~~~.~~~~ http://~~~.~~~~~.com/~~~?~~~=### ~~~
 """.strip().splitlines()
-VARIANTS = 8
+VARIANTS = 6
 WORDS = frozenset("at dot com org net token key api secret password passwd tel phone fax call ring number mail email version".split())
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -101,9 +173,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_SIGN = re.compile(r"[0-9]+|@|[(\[][Aa][Tt][)\]]")
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{16,}(?![0-9A-Za-z])")
+# A token with the white space before it: a long run of letters and digits, letters,
+# digits or a sign.
+_PIECE = re.compile(r"\s*(?:(?<![^\W_])[0-9A-Za-z]{16,}(?![^\W_])|[^\W\d_]+|\d+|[^\w\s]|_)")
 
 Span = tuple[str, int, int]
 
@@ -150,31 +222,13 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of text that the field decodes."""
-    found: list[list[int]] = []
-    for m in _SIGN.finditer(text):
-        low, high = max(0, m.start() - WINDOW), min(len(text), m.end() + WINDOW)
-        while low > 0 and m.start() - low < 2 * WINDOW and not text[low - 1].isspace():
-            low -= 1
-        while high < len(text) and high - m.end() < 2 * WINDOW and not text[high].isspace():
-            high += 1
-        if found and low <= found[-1][1]:
-            found[-1][1] = max(high, found[-1][1])
-        else:
-            found.append([low, high])
-    return [(a, b) for a, b in found]
-
-
-def tokenize(text: str, low: int, high: int) -> list[tuple[str, int, int]]:
-    """Tokens of a window; a long hexadecimal run is one token."""
-    found, at = [], low
-    for h in [*_HEX.finditer(text, low, high), None]:
-        stop = h.start() if h else high
-        found += [(m.group(), *m.span()) for m in _TOKEN.finditer(text, at, stop)]
-        if h:
-            found.append((h.group(), *h.span()))
-            at = h.end()
+def tokenize(text: str) -> list[tuple[str, int, int]]:
+    """Tokens of a text with their places."""
+    found, at = [], 0
+    for piece in _PIECE.findall(text):
+        token = piece.lstrip()
+        at += len(piece)
+        found.append((token, at - len(token), at))
     return found
 
 
@@ -185,15 +239,15 @@ def shape(token: str) -> str:
         if token.lower() in WORDS:
             return f"w:{token.lower()}"
         return "X" if token[0].isupper() else "x"
-    if len(token) >= 16:
-        return "hex"
+    if len(token) >= 16 and token.isalnum():
+        return "mixed"
     return token if token.isascii() else "?"
 
 
 def features(tokens: list[tuple[str, int, int]]) -> list[list[str]]:
-    """Feature names of each token, from the shapes around it."""
+    """Feature names of each token, from the shapes around it and what it touches."""
     s = ["<", "<", *(shape(t) for t, _, _ in tokens), ">", ">"]
-    touch = ["g" if a and tokens[a - 1][2] == t[1] else "s" for a, t in enumerate(tokens)]
+    touch = ["g" if a and tokens[a - 1][2] == t[1] else "s" for a, t in enumerate(tokens)] + ["s"]
     return [
         [
             f"0{s[k]}",
@@ -202,7 +256,7 @@ def features(tokens: list[tuple[str, int, int]]) -> list[list[str]]:
             f"3{s[k - 1]}|{s[k]}|{s[k + 1]}",
             f"<{s[k - 2]}|{s[k - 1]}|{s[k]}",
             f">{s[k]}|{s[k + 1]}|{s[k + 2]}",
-            f"t{touch[k - 2]}|{s[k]}",
+            f"t{touch[k - 2]}{touch[k - 1]}|{s[k]}",
         ]
         for k in range(2, len(tokens) + 2)
     ]
@@ -232,7 +286,7 @@ class Field:
         return ids, lengths
 
     def decode(self, batch: list[list[list[str]]]) -> list[list[int]]:
-        """The likeliest labels of each sequence."""
+        """The likeliest labels of each sequence, from feature names."""
         ids, lengths = self._ids(batch)
         score = self.emit[ids].sum(2)
         best, back = score[:, 0] + self.first, []
@@ -248,39 +302,6 @@ class Field:
                 label = np.where(t < lengths, back[t - 1][np.arange(len(label)), label], label)
         return [row[:size].tolist() for row, size in zip(out, lengths)]
 
-    def decode_parts(self, batch: list[list[list[str]]], opens: list[bool]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each stretch of a sequence and each label before it (of no account if it
-        opens the sequence): scores [before, last] and the label before each, [t, before, label]."""
-        ids, lengths = self._ids(batch)
-        score, move = self.emit[ids].sum(2), self.move + self.forbid
-        start = np.where(np.array(opens)[:, None, None], self.first, move)
-        best = start + score[:, 0, None, :]
-        back = np.zeros((*ids.shape[:2], len(LABELS), len(LABELS)), np.int8)
-        for t in range(1, ids.shape[1]):
-            each = best[:, :, :, None] + move
-            back[:, t] = each.argmax(2)
-            grown = each.max(2) + score[:, t, None, :]
-            best = np.where((t < lengths)[:, None, None], grown, best)
-        return [(best[n], back[n, :size]) for n, size in enumerate(lengths)]
-
-    @staticmethod
-    def join(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
-        """The likeliest labels of a sequence from its stretches in order."""
-        best, before = parts[0][0][0], []
-        for scores, _ in parts[1:]:
-            each = best[:, None] + scores
-            before.append(each.argmax(0))
-            best = each.max(0)
-        label, out = int(best.argmax()), []
-        for k in range(len(parts) - 1, -1, -1):
-            entry, own = (int(before[k - 1][label]) if k else 0), label
-            back = parts[k][1]
-            for t in range(len(back) - 1, -1, -1):
-                out.append(own)
-                own = int(back[t, entry, own])
-            label = entry
-        return out[::-1]
-
     @classmethod
     def train(cls, rows: list[tuple[list[list[str]], list[int]]], steps: int = 120, rate: float = 0.15) -> Field:
         names: dict[str, int] = {}
@@ -344,7 +365,8 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def labelled_rows(seed: int = 5) -> list[tuple[str, list[Span]]]:
     """The labelled table with its blanks filled, several times over."""
     rng = np.random.default_rng(seed)
-    pools = {"#": "0123456789", "@": "0123456789abcdef", "~": "abcdefghijklmnopqrstuvwxyz"}
+    small = "abcdefghijklmnopqrstuvwxyz"
+    pools = {"#": "0123456789", "@": "0123456789abcdef", "~": small, "^": small.upper(), "&": small + small.upper() + "0123456789"}
     rows = []
     for line in LABELLED:
         for _ in range(VARIANTS):
@@ -356,9 +378,9 @@ def labelled_rows(seed: int = 5) -> list[tuple[str, list[Span]]]:
                     spans.append((kind, start, len(text)))
                 else:
                     pool = pools.get(part)
-                    if part == "@" and not kind:
+                    if part == "@" and "@" * 16 not in line:
                         pool = None
-                    text += pool[rng.integers(len(pool))] if pool else part
+                    text += pool[rng.integers(len(pool))] if pool else {"‹": "{", "›": "}"}.get(part, part)
             rows.append((text, spans))
     return rows
 
@@ -368,7 +390,7 @@ def field() -> Field:
     """The field trained on the labelled table, once in a process."""
     rows = []
     for text, spans in labelled_rows():
-        tokens = tokenize(text, 0, len(text))
+        tokens = tokenize(text)
         labels = []
         for _, low, high in tokens:
             kind = next(((k, a) for k, a, b in spans if a <= low and high <= b), None)
@@ -377,67 +399,207 @@ def field() -> Field:
     return Field.train(rows)
 
 
-def added_spans(texts: list[str], model: Field) -> list[list[Span]]:
-    """The field's spans in each text, by start."""
-    jobs: list[tuple[int, list[tuple[str, int, int]]]] = []
-    for k, text in enumerate(texts):
-        for low, high in windows(text):
-            found = tokenize(text, low, high)
-            if found:
-                jobs.append((k, found))
-    out: list[list[Span]] = [[] for _ in texts]
-    jobs.sort(key=lambda j: len(j[1]))
-    short = sum(len(tokens) <= STRETCH for _, tokens in jobs)
-    for low in range(0, short, 256):
-        some = jobs[low : min(low + 256, short)]
-        for (k, tokens), labels in zip(some, model.decode([features(tokens) for _, tokens in some])):
-            out[k] += _spans(tokens, labels)
-    for (k, tokens), labels in zip(jobs[short:], _decode_long([tokens for _, tokens in jobs[short:]], model)):
-        out[k] += _spans(tokens, labels)
-    return [sorted(s, key=lambda x: (x[1], x[2], x[0])) for s in out]
-
-
-def _decode_long(sequences: list[list[tuple[str, int, int]]], model: Field):
-    """The likeliest labels of each sequence, decoded in stretches of many at once."""
-    parts: list[list] = [[] for _ in sequences]
-    cuts, done = [], 0
-    for n, tokens in enumerate(sequences):
-        count = -(-len(tokens) // STRETCH)
-        bounds = [len(tokens) * c // count for c in range(count + 1)]
-        cuts += [(n, a, b) for a, b in zip(bounds, bounds[1:])]
-    for low in range(0, len(cuts), 256):
-        some, named = cuts[low : low + 256], []
-        for n, a, b in some:
-            first = max(0, a - 2)  # a token's features reach two tokens to both sides
-            named.append(features(sequences[n][first : b + 2])[a - first : b - first])
-        for (n, _, _), part in zip(some, model.decode_parts(named, [a == 0 for _, a, _ in some])):
-            parts[n].append(part)
-        # Sequences come in order: all but the last met are complete.
-        stop = len(sequences) if low + 256 >= len(cuts) else some[-1][0]
-        for n in range(done, stop):
-            yield model.join(parts[n])
-            parts[n] = []
-        done = max(done, stop)
-
-
-def _spans(tokens: list[tuple[str, int, int]], labels: list[int]) -> list[Span]:
-    out, open_span = [], None
-    for token, label in zip(tokens, labels):
-        name = LABELS[label]
-        if name[0] == "I" and open_span:
-            open_span[2] = token[2]
-            continue
-        if open_span:
-            out.append(tuple(open_span))
-        open_span = [name[2:], token[1], token[2]] if name[0] == "B" else None
-    return out + [tuple(open_span)] if open_span else out
-
-
-def find(texts: list[str | None], model: Field) -> list[tuple[list[Span], list[Span]]]:
+class Reader:
+    """The field over tables of shapes, for one worker."""
+
+    def __init__(self, model: Field):
+        # Shapes that no row has weigh nothing; all are one.
+        known = sorted({s for f in model.names for s in _shapes_of(f)} | {"<", ">"})
+        self.of = {s: k + 1 for k, s in enumerate(known)}
+        n = self.count = len(known) + 1
+        self.move = (model.move + model.forbid).astype(np.float32)
+        self.first = model.first.astype(np.float32)
+        size = len(LABELS)
+        near, back, ahead = (np.zeros((n, n, n, size), np.float32) for _ in range(3))
+        touch = np.zeros((2, 2, n, size), np.float32)
+        for name, row in model.names.items():
+            at, weights = [self.of[s] for s in _shapes_of(name)], model.emit[row].astype(np.float32)
+            if name[0] == "0":
+                near[:, at[0], :] += weights
+            elif name[0] == "-":
+                near[at[0], at[1], :] += weights
+            elif name[0] == "+":
+                near[:, at[0], at[1]] += weights
+            elif name[0] == "t":
+                touch[int(name[1] == "g"), int(name[2] == "g"), at[0]] += weights
+            else:
+                {"3": near, "<": back, ">": ahead}[name[0]][tuple(at)] += weights
+        self.near, self.back, self.ahead = (x.reshape(-1, size) for x in (near, back, ahead))
+        self.touch = touch.reshape(-1, size)
+        self.memo = _Codes(self.of)
+
+    def codes(self, pieces: list[str]) -> np.ndarray:
+        """Two times the shape of each piece's token, and 1 if no white space is before it."""
+        if len(self.memo) > MEMO_PIECES:
+            self.memo.clear()
+        return np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
+
+    def weigh(self, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores [label, place] of the texts' tokens, with two blank places before and
+        after each text's; and where each text's tokens begin."""
+        edge = np.array([2 * self.of["<"]] * 2), np.array([2 * self.of[">"]] * 2)
+        joined = np.concatenate([x for c in codes for x in (edge[0], c, edge[1])])
+        sizes = np.array([len(c) + 4 for c in codes])
+        begins = np.cumsum(sizes) - sizes + 2
+        s, glued, n = joined >> 1, joined & 1, self.count
+        glued[begins] = 0  # nothing is before a text's first token
+        mid = s[2:-2]
+        score = self.near.take((s[1:-3] * n + mid) * n + s[3:-1], 0)
+        score += self.back.take((s[:-4] * n + s[1:-3]) * n + mid, 0)
+        score += self.ahead.take((mid * n + s[3:-1]) * n + s[4:], 0)
+        score += self.touch.take((glued[2:-2] * 2 + glued[3:-1]) * n + mid, 0)
+        return np.ascontiguousarray(score.T), begins - 2
+
+    def _forward(self, score: np.ndarray, begin: np.ndarray, sizes: np.ndarray, state: np.ndarray, keep: bool):
+        """Best scores through runs of tokens, longest run first: state[..., label, run]
+        is that of each run's first token. All of them [t, label, run], or the last ones."""
+        out = np.empty((int(sizes[0]), *state.shape), np.float32) if keep else state.copy()
+        move = self.move[:, :, None]
+        live = len(sizes)
+        for t in range(int(sizes[0])):
+            while sizes[live - 1] <= t:
+                live -= 1
+            state = state[..., :live]
+            if t:
+                state = (state[..., :, None, :] + move).max(-3)
+                state += score.take(begin[:live] + t, 1)
+            if keep:
+                out[t, ..., :live] = state
+            else:
+                out[..., :live] = state
+        return out
+
+    def decode(self, codes: list[np.ndarray]) -> list[np.ndarray]:
+        """The likeliest labels of each text's tokens."""
+        score, begins = self.weigh(codes)
+        # Runs of every text: (text, from, to), of about equal sizes.
+        cuts = []
+        for k, c in enumerate(codes):
+            parts = -(-len(c) // STRETCH)
+            cuts += [(k, len(c) * p // parts, len(c) * (p + 1) // parts) for p in range(parts)]
+        text, low, high = (np.array(x) for x in zip(*cuts))
+        order = np.argsort(low - high, kind="stable")
+        rank = np.argsort(order)
+        text, low, high = text[order], low[order], high[order]
+        begin, sizes, opens = begins[text] + low, high - low, low == 0
+        here = score.take(begin, 1)
+        state = self.first[:, None] + here
+        later = np.flatnonzero(~opens)
+        entry, last = {}, np.full(len(order), -1)
+        if len(later):
+            through = self._forward(score, begin[later], sizes[later], self.move[:, :, None] + here[None][:, :, later], False)
+            multiple = np.isin(text, text[later]) & opens
+            ends = self._forward(score, begin[multiple], sizes[multiple], state[:, multiple], False)
+            end_of = dict(zip(np.flatnonzero(multiple).tolist(), ends.T))
+            way_of = dict(zip(later.tolist(), np.moveaxis(through, -1, 0)))
+            chain: list[int] = []
+            for at in [*rank.tolist(), None]:
+                if at is None or opens[at]:
+                    self._join(chain, end_of, way_of, entry, last)
+                    chain = []
+                if at is not None:
+                    chain.append(at)
+            # A later run starts from the best scores at the end of the one before it.
+            before = np.stack([entry[k] for k in later.tolist()], 1)
+            state[:, later] = (before[:, None, :] + self.move[:, :, None]).max(0) + here[:, later]
+        best = self._forward(score, begin, sizes, state, True)
+        out = np.zeros((best.shape[0], len(order)), np.int8)
+        label = np.zeros(len(order), np.int64)
+        for t in range(best.shape[0] - 1, -1, -1):
+            live = int(np.searchsorted(-sizes, -t, side="left"))  # runs longer than t
+            fresh = int(np.searchsorted(-sizes, -(t + 1), side="left"))  # runs longer than t + 1
+            if fresh < live:
+                own = last[fresh:live]
+                label[fresh:live] = np.where(own >= 0, own, best[t, :, fresh:live].argmax(0))
+            if fresh:
+                label[:fresh] = (best[t, :, :fresh].T + self.move.T[label[:fresh]]).argmax(1)
+            out[t, :live] = label[:live]
+        found = [np.empty(len(c), np.int8) for c in codes]
+        for k, (n, a, b) in enumerate(zip(text.tolist(), low.tolist(), high.tolist())):
+            found[n][a:b] = out[: b - a, k]
+        return found
+
+    @staticmethod
+    def _join(chain: list[int], end_of: dict, way_of: dict, entry: dict, last: np.ndarray) -> None:
+        """For the runs of one text: best scores before each, and the label that each ends in."""
+        if len(chain) < 2:
+            return
+        best = end_of[chain[0]]
+        for at in chain[1:]:
+            entry[at] = best
+            best = (best[:, None] + way_of[at]).max(0)
+        label = int(best.argmax())
+        for at in reversed(chain[1:]):
+            last[at] = label
+            label = int((entry[at] + way_of[at][:, label]).argmax())
+        last[chain[0]] = label
+
+    def spans(self, texts: list[str]) -> list[list[Span]]:
+        """The field's spans in each text, by start."""
+        out: list[list[Span]] = [[] for _ in texts]
+        held: list[tuple[int, list[str], np.ndarray]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            pieces = _PIECE.findall(text)
+            if pieces:
+                held.append((k, pieces, self.codes(pieces)))
+                size += len(pieces)
+            if held and (size >= TOGETHER or k == len(texts) - 1):
+                for (n, own, _), labels in zip(held, self.decode([c for _, _, c in held])):
+                    out[n] = _spans(own, labels) if labels.any() else []
+                held, size = [], 0
+        return out
+
+
+class _Codes(dict):
+    def __init__(self, shapes: dict[str, int]):
+        super().__init__()
+        self.shapes = shapes
+
+    def __missing__(self, piece: str) -> int:
+        token = piece.lstrip()
+        found = self.shapes.get(shape(token), 0) * 2 + (len(token) == len(piece))
+        if len(piece) <= 64:
+            self[piece] = found
+        return found
+
+
+def _shapes_of(name: str) -> list[str]:
+    """The shapes that a feature's name holds; the sign | may be one itself."""
+    body = name[name.index("|") + 1 :] if name[0] == "t" else name[1:]
+    count = {"0": 1, "-": 2, "+": 2, "t": 1}.get(name[0], 3)
+    found, rest = [], body
+    for _ in range(count - 1):
+        cut = rest.index("|", 1)
+        found.append(rest[:cut])
+        rest = rest[cut + 1 :]
+    return [*found, rest]
+
+
+def _spans(pieces: list[str], labels: np.ndarray) -> list[Span]:
+    ends = list(accumulate(map(len, pieces)))
+    out: list[list] = []
+    open_span = None
+    for k in np.flatnonzero(labels).tolist():
+        name, end = LABELS[labels[k]], ends[k]
+        if name[0] == "I" and open_span and open_span[0] == k - 1:
+            out[-1][2] = end
+        else:
+            out.append([name[2:], end - len(pieces[k].lstrip()), end])
+        open_span = (k,)
+    return [tuple(s) for s in out]
+
+
+@lru_cache(maxsize=1)
+def reader() -> Reader:
+    return Reader(field())
+
+
+def find(texts: list[str | None], model: Reader) -> list[tuple[list[Span], list[Span]]]:
     """For each text its base spans, and all spans, by kind and start."""
     plain = [t or "" for t in texts]
     out = []
-    for base, more in zip(map(base_spans, plain), added_spans(plain, model)):
+    for base, more in zip(map(base_spans, plain), model.spans(plain)):
         taken = sorted((a, b) for _, a, b in base)
         free, end = [], -1
         for span in more:
@@ -467,15 +629,16 @@ def scan(docs: DataFrame) -> DataFrame:
     model = field()
 
     def run(batches):
-        common.worker_memo("personal data", dict)
+        reading = common.worker_memo("personal data", lambda: Reader(model))
         for batch in batches:
-            found = find(batch.column(1).to_pylist(), model)
+            found = find(batch.column(1).to_pylist(), reading)
             counts = [[sum(s[0] == kind for s in base) for base, _ in found] for kind in KINDS]
             digests = [hashlib.sha256(render(base).encode()).hexdigest() for base, _ in found]
             columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts)]
             columns += [pa.array(digests, pa.string()), pa.array([render(s) for _, s in found], pa.string())]
+            columns.append(pa.array([len(s) for _, s in found], pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+                columns, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"]
             )
 
     texts = common.small_batches(docs).selectExpr("cast(doc_id as long) as doc_id", "text")
@@ -488,10 +651,10 @@ def redact(docs: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        common.worker_memo("personal data", dict)
+        reading = common.worker_memo("personal data", lambda: Reader(model))
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            new = [None if t is None else mask(t, s) for t, (_, s) in zip(texts, find(texts, model))]
+            new = [None if t is None else mask(t, s) for t, (_, s) in zip(texts, find(texts, reading))]
             columns = batch.columns
             columns[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)

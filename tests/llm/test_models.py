@@ -212,7 +212,7 @@ def test_viterbi_and_marginals_against_enumeration():
     from itertools import product
 
     model = crf_pii.field()
-    tokens = crf_pii.tokenize("tel (212) 555", 0, 13)[:4]
+    tokens = crf_pii.tokenize("tel (212) 555")[:4]
     named = crf_pii.features(tokens)
     ids, lengths = model._ids([named])
     score = model.emit[ids].sum(2)[0]
@@ -232,32 +232,86 @@ def test_viterbi_and_marginals_against_enumeration():
 
 
 def test_the_field_adds_spans_clear_of_base_ones():
-    model = crf_pii.field()
+    model = crf_pii.reader()
     texts = ["mail john (at) example (dot) com now", "call (212) 555-0199 today", "+1 (212) 555-0199 rang", "plain words, version 2.0 only", None]
     got = crf_pii.find(texts, model)
-    assert [s[0] for s in got[0][1]] == ["email"] and [s[0] for s in got[1][1]] == ["phone"]
+    assert got[0][1] == [("email", 5, 32)] and got[1][1] == [("phone", 5, 19)]
     assert got[2][0] == got[2][1] and got[3][1] == [] and got[4] == ([], [])
     assert crf_pii.mask("a x@y.zz b", got_spans := crf_pii.base_spans("a x@y.zz b")) == "a <EMAIL> b" and got_spans
 
 
-@pytest.mark.parametrize("secret", ["212-555-0199", "(212) 555-0199", "jane (at) example (dot) com", "jane.of.the.long.river.house (at) example (dot) com"])
-def test_long_windows_are_decoded_whole(secret):
-    model = crf_pii.field()
-    texts = [" ".join([*(["river", "7"] * 300)[:at], "write to", secret, *["river", "7"] * 150]) for at in range(180, 280)]
-    found = crf_pii.added_spans(texts, model)
-    for text, got in zip(texts, found):
-        assert any(text[a:b] == secret for _, a, b in got)
-        assert secret.split()[-1] not in crf_pii.mask(text, crf_pii.find([text], model)[0][1])
+def test_data_without_a_digit_or_an_at_sign_is_found_and_words_beside_it_stay():
+    model = crf_pii.reader()
+    for text, want in (
+        ("password: correcthorse please", "correcthorse"), ("Call 212-555-0199 now", "212-555-0199"),
+        ("mail jane at mail dot org now", "jane at mail dot org"), ("call us: 212-555-0199; today", "212-555-0199"),
+    ):
+        assert [text[a:b] for _, a, b in crf_pii.find([text], model)[0][1]] == [want]
+
+
+#: Other sentences than the labelled table's, filled in the same way.
+HELD_OUT = """
+please mail {email:~~~~~ (at) ~~~~~~ (dot) org} soon
+you can write to {email:~~~~ [at] ~~~~~~~~ [dot] com}.
+~~~~ ~~~~~~ {email:~~~~~.~~~~~~ (at) ~~~~.com} ~~~ ~~~
+{email:~~~~~~~~ (at) ~~~~ (dot) net} ~~~~~
+^~~~ {email:~~~~~ at ~~~~~~ dot com} ~~~
+our phone is {phone:###-###-####} from nine on
+^~~~~~ ~~~ {phone:(###) ###-####}, ~~~ ~~~~
+{phone:(###) ###-####}
+Telephone {phone:###.###.####}.
+please ring {phone:0### ### ####} soon
+password: {secret:~~~~~~~~~##} ~~~~
+~~~~ ~~~~~ password: {secret:~~~~~~~~~} ~~~~ ~~~
+passwd = {secret:~~~~~~~##}
+~~~~~, token = "{secret:@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@}".
+"token": "{secret:@@@@@@@@@@@@@@@@@@@@@@@@}"
+api_key = "{secret:&&&&&&&&&&&&&&&&&&&&&&&&}" ~~~
+~~~ secret = "{secret:@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@@}" ~~~
+^~~~ ~~~~~ ~~~ ~~~~~, ~~~ #### ~~~ ~~ ~~~~.
+see pages ##-## and ###-### of volume #
+on ####-##-## at ##:## the ~~~~ ~~~~ ~~~
+the ~~~~ at ~~~~~ was ~~~, the ~~~ dot ~~~~
+^~~~ ~~~. ^~~~ ~~~~ ~~~ (~~~) ~~~ ~~~~~ ###.## ~~~
+version #.#.# of ~~~~ was ~~~~~ in ####
+~~~~ ################ ~~~~ ~~~~
+the key to the ~~~~ is in the ~~~~ of ~~~
+""".strip().splitlines()
+
+
+def test_exact_spans_of_held_out_sentences(monkeypatch):
+    model = crf_pii.reader()
+    monkeypatch.setattr(crf_pii, "LABELLED", HELD_OUT)
+    right = said = true = 0
+    for text, want in crf_pii.labelled_rows(seed=99):
+        got = set(model.spans([text])[0])
+        right, said, true = right + len(got & set(want)), said + len(got), true + len(want)
+    assert true > 90 and right / said >= 0.93 and right / true >= 0.93
+
+
+@pytest.mark.parametrize("secret", ["212-555-0199", "jane (at) example (dot) com", "jane.of.the.long.river.house (at) example (dot) com"])
+def test_stretches_make_the_whole_text_s_likeliest_path(secret):
+    model, net = crf_pii.reader(), crf_pii.field()
+    texts = [" ".join([*(["river", "7"] * 300)[:at], "write to", secret, *["river", "7"] * (at % 300)]) for at in range(180, 280, 3)]
+    texts += ["", "a", "river " * 255, "river 7 " * 640, secret]
+    found = model.spans(texts)
     for text, got in zip(texts, found):
-        (window,) = crf_pii.windows(text)
-        tokens = crf_pii.tokenize(text, *window)
-        (labels,) = model.decode([crf_pii.features(tokens)])
-        assert len(tokens) > crf_pii.STRETCH and got == crf_pii._spans(tokens, labels)
+        tokens = crf_pii.tokenize(text)
+        if not tokens:
+            assert got == []
+            continue
+        assert "".join(crf_pii._PIECE.findall(text)) == text.rstrip()
+        (labels,) = model.decode([model.codes(crf_pii._PIECE.findall(text))])
+        assert labels.tolist() == net.decode([crf_pii.features(tokens)])[0]
+        assert got == [s for s in got if text[s[1] : s[2]].strip() == text[s[1] : s[2]]]
+        if secret in text:
+            assert secret.split()[-1] not in crf_pii.mask(text, crf_pii.find([text], model)[0][1])
 
 
 def test_personal_data_of_odd_rows(documents, odd):
     got = {r.doc_id: r for r in crf_pii.scan(documents(odd)).collect()}
     assert got[9].n_email == 1 and got[9].n_phone == 1 and got[1].spans == "" and got[8].n_card == 0
+    assert got[9].n_spans == 2 and got[1].n_spans == 0
     assert crf_pii.scan(documents([])).count() == 0
     kept = crf_pii.redact(documents(odd))
     assert kept.columns == documents(odd).columns

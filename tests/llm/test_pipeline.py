@@ -54,7 +54,7 @@ def test_each_stage_against_its_operator_row_by_row(spark, folder):
     assert set(rows[2]) == {doc_id for doc_id, _, least in components if doc_id == least}
     assert not {400, 401} & set(rows[2])
 
-    model = crf_pii.field()
+    model = crf_pii.reader()
     for doc_id, text in rows[3].items():
         (_, spans), = crf_pii.find([rows[2][doc_id]], model)
         assert text == crf_pii.mask(rows[2][doc_id], spans)
