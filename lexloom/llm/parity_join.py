@@ -36,10 +36,11 @@ classes that share a key; the texts of pairs to verify are read once more. Compo
 minimum labels with pointer jumping.
 
 Null or wordless texts have an empty set and link with nothing. Texts of fewer
-words than a shingle are one shingle. Rows with equal doc_id are one document
-for the component's name; a null doc_id names no component but a set without
-any other id, whose component is null. An empty table gives no rows. Other
-columns are ignored.
+words than a shingle are one shingle. A row is known by its doc_id and text, so rows
+without an id, and different texts under one id, are compared like others. A
+component is named by its smallest doc_id; a component without any has a null name.
+Very long texts cost memory in proportion, in one task. An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ SEEDS = 4
 BAND = 1.5
 #: Rows of doc_ids that may be broadcast (16 bytes each); above it they are shuffled.
 BROADCAST_ROWS = 500_000
+#: Shingles whose keys a task that gathers groups holds, about (16 bytes a key).
+GATHER_SHINGLES = 16_000_000
 #: Classes of a group that are compared in one task, bits of a class's sketch for
 #: each shingle (to the next power of two), and at least.
 GROUP_MOST = 4096
@@ -231,26 +234,27 @@ def linked(a: np.ndarray, b: np.ndarray, rule: Rule) -> bool:
 
 
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, node, sketch: equal sets have equal nodes, empty ones -1."""
+    """doc_id, place, n_shingles, node, sketch: equal sets have equal nodes, empty ones -1;
+    place is a hash of the text."""
 
     def run(batches):
         for batch in batches:
             sizes, nodes, sketches = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 grams = shingles(text, rule.words)
                 sizes.append(len(grams))
                 nodes.append(identity(grams))
                 sketches.append(parity(grams) if len(grams) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "sketch"],
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())],
+                names=["doc_id", "place", "n_shingles", "node", "sketch"],
             )
 
-    shape = "doc_id long, n_shingles long, node long, sketch binary"
-    return docs.select("doc_id", "text").mapInArrow(run, shape)
+    shape = "doc_id long, place long, n_shingles long, node long, sketch binary"
+    return docs.select("doc_id", "place", "text").mapInArrow(run, shape)
 
 
-def _groups(docs: DataFrame, rule: Rule) -> DataFrame:
+def _groups(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
     """key, node: the members of each group of classes that share a key, equal groups once."""
 
     def emit(batches):
@@ -296,7 +300,6 @@ def _groups(docs: DataFrame, rule: Rule) -> DataFrame:
             [pa.array(np.repeat(names, sizes)[rows]), pa.array(node[rows])], names=["key", "node"]
         )
 
-    parts = common.partitions(docs.sparkSession)
     emitted = docs.select("text").mapInArrow(emit, "key long, node long")
     return emitted.repartition(parts, "key").mapInArrow(gather, "key long, node long").distinct()
 
@@ -371,9 +374,9 @@ def _same_group(first: pa.RecordBatch, batch: pa.RecordBatch) -> bool:
 
 
 def _verify(pairs: DataFrame, named: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (pivot, node) that are links.
+    """The pairs (pivot, node) that are links, written.
 
-    Every text asked for is read once more; its set goes to the pivot it is compared
+    named: node, and the doc_id and place of one of its rows. Every text asked for is read once more; its set goes to the pivot it is compared
     with. A pivot's own set goes to as many salted places as its nodes need.
     """
     counts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PER_PIVOT).alias("places"))
@@ -416,11 +419,20 @@ def _verify(pairs: DataFrame, named: DataFrame, docs: DataFrame, rule: Rule) ->
                 [pa.array(pivots, pa.int64()), pa.array(nodes, pa.int64())], names=["pivot", "node"]
             )
 
-    side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    rows = docs.join(side, "doc_id").select("text", "node", "pivot", "salt", "part")
+    picked = ["text", "node", "pivot", "salt", "part"]
+    known, unknown = asked.filter("doc_id is not null").drop("place"), asked.filter("doc_id is null").drop("doc_id")
+    side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    rows = docs.join(side, "doc_id").select(*picked)
+    if not unknown.isEmpty():
+        # Of rows without an id each text once.
+        nameless = docs.filter("doc_id is null").groupBy("place").agg(F.min("text").alias("text"))
+        rows = rows.unionByName(nameless.join(unknown, "place").select(*picked))
     shape = "node long, pivot long, salt long, part int, grams binary"
     dealt = rows.mapInArrow(sets, shape).repartition(common.partitions(docs.sparkSession), "pivot", "salt")
-    return dealt.sortWithinPartitions("pivot", "salt", "part").mapInArrow(compare, "pivot long, node long")
+    found = dealt.sortWithinPartitions("pivot", "salt", "part").mapInArrow(compare, "pivot long, node long")
+    found = common.cut(found, "links")
+    common.forget(asked)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -443,24 +455,27 @@ def components(links: DataFrame) -> DataFrame:
         moved = common.cut(
             step.join(jump, "next").select("node", "old", F.least("next", "far").alias("label")), "labels"
         )
+        common.forget(labels)
         labels = moved.select("node", "label")
         if moved.filter("old <> label").isEmpty():
+            common.forget(both)
             return labels
 
 
-def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
-    docs = common.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def linked_rows(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, place, node, label, n_shingles, component_id for every row of doc_id, place,
+    text; node and label are null without words. label is equal in a component."""
     rows = common.cut(classes(docs, rule), "classes")
     sets = rows.filter("node >= 0").groupBy("node")
-    named = sets.agg(F.min("doc_id").alias("doc_id"))
-    known = named.filter("doc_id is not null")
+    # One row stands for its class: by id, or by text where no row has one.
+    named = sets.agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"))
     sketches = sets.agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    groups = common.cut(_groups(docs, rule), "groups")
+    size = sketches.agg(F.sum("n_shingles")).collect()[0][0] or 0
+    groups = common.cut(_groups(docs, rule, max(common.partitions(docs.sparkSession), -(-size // GATHER_SHINGLES))), "groups")
     own = groups.withColumn("label", F.col("node"))
     forest = common.cut(_forest(_places(own, sketches, False), rule, every=False), "forest")
     tried = forest.select("pivot", "node").distinct()
-    links = common.cut(_verify(tried, known, docs, rule), "links")
+    links = _verify(tried, named, docs, rule)
     labels = components(links)
     # Where all of a group's forest holds, whatever its sketches let link is linked already.
     broken = forest.join(links, ["pivot", "node"], "left_anti").select(F.col("place").alias("key"))
@@ -471,13 +486,30 @@ def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
         more = _forest(_places(apart, sketches, True), rule, every=True).select("pivot", "node").distinct()
         more = common.cut(more.join(tried, ["pivot", "node"], "left_anti"), "pairs")
         if not more.isEmpty():
-            links = common.cut(links.union(_verify(more, known, docs, rule)), "links")
-            labels = components(links)
-    found = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            found = _verify(more, named, docs, rule)
+            common.forget(labels)
+            labels = components(links.union(found))
+            common.forget(found)
+        common.forget(more)
+    for table in (apart, links, forest, groups):
+        common.forget(table)
+    found = named.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = found.join(best, "label").select("node", "component_id")
-    alone = rows.filter("node < 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.filter("node >= 0").join(found, "node").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    found = found.join(best, "label").select("node", "label", "component_id")
+    alone = rows.filter("node < 0").select(
+        "doc_id", "place", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("label"),
+        "n_shingles", F.col("doc_id").alias("component_id"),
+    )
+    return rows.filter("node >= 0").drop("sketch").join(found, "node").select(*alone.columns).unionByName(alone)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return common.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("place"), "text")
+
+
+def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    return linked_rows(_keyed(docs), rule).select("doc_id", "n_shingles", "component_id")
 
 
 def _places(groups: DataFrame, sketches: DataFrame, crossed: bool) -> DataFrame:
@@ -509,23 +541,29 @@ def _apart(groups: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     """The rows of docs that stay when one document of each component does.
 
-    The one with the component's name stays; repeated rows of it stay once.
+    Of a component the row of smallest doc_id stays (rows without one come last, of
+    several texts under one id that of smallest hash), and of rows equal in id and text
+    any one. Rows without words are no copies; all stay.
     """
-    found = common.cut(link_components(docs, rule), "components")
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    gone = common.cut(gone, "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(side, docs["doc_id"] == gone["doc_id"], "left_anti")
-    repeated = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    unnamed = found.filter("doc_id is null")
-    if not unnamed.isEmpty():
-        named = docs.filter("doc_id is not null").select("text").distinct()
-        rest = docs.filter("doc_id is null").dropDuplicates(["text"]).join(named, "text", "left_anti")
-        kept = kept.filter("doc_id is not null").unionByName(rest.select(*docs.columns))
-    if not repeated.isEmpty():
-        once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
-            F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), "text").alias("row")
-        )
-        once = once.select("doc_id", "row.*").select(*docs.columns)
-        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
-    return kept
+    found = common.cut(linked_rows(_keyed(docs), rule).filter("label is not null").drop("n_shingles"), "components")
+    key = ["doc_id", "place"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "place"))
+    stay = found.groupBy("label").agg(first.alias("stay")).select("stay.doc_id", "stay.place")
+    counts = found.groupBy(*key).agg(F.count("*").alias("rows"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["place"] == b["place"])
+    gone = common.cut(counts.join(stay, same(counts, stay), "left_anti").select(*key), "gone")
+    twice = common.cut(counts.filter("rows > 1").join(gone, same(counts, gone), "left_anti").select(*key), "twice")
+    # Whatever columns docs has, the keys beside them have other names.
+    names = [f"column_{k}" for k in range(len(docs.columns))]
+    at, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    held = docs.toDF(*names).withColumns({"doc_id": F.col(at).cast("long"), "place": F.xxhash64(text)})
+
+    def bounded(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+    kept = held.join(bounded(gone), same(held, gone), "left_anti")
+    if not twice.isEmpty():
+        side = bounded(twice)
+        once = kept.join(side, same(kept, twice), "left_semi").dropDuplicates(key)
+        kept = kept.join(side, same(kept, twice), "left_anti").unionByName(once)
+    return kept.select(*names).toDF(*docs.columns)

@@ -83,6 +83,38 @@ def test_odd_rows(documents, odd):
     assert parity_join.link_components(documents([]), rule).count() == 0
 
 
+def test_rows_without_an_id_link_like_others(documents):
+    rule = Rule(4, 85, 100)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(900)}" for _ in range(60)]
+    chain = [" ".join(base[:k] + ["x"] * (k > 50) + base[k + 1 :]) for k in (60, 59, 55)]
+    rows = [(7, " ".join(base)), *((None, t) for t in chain for _ in range(2)), (9, " ".join(["y", *base[1:59]]))]
+    rows += [(None, "another text that no id at all is near to"), (None, "another text that no id at all is near to"), (None, None), (None, "")]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in parity_join.link_components(documents(rows), rule).collect()]
+    numbered = [(k, t) for k, (_, t) in enumerate(rows)]
+    want = {}
+    for k, size, least in brute(numbered, rule):
+        want.setdefault(least, []).append((rows[k][0], size))
+    expected = []
+    for members in want.values():
+        ids = [i for i, _ in members if i is not None]
+        name = min(ids) if ids else None
+        expected += [(i, size, name) for i, size in members]
+    assert sorted(got, key=str) == sorted(expected, key=str) and sum(r[2] == 7 for r in got) >= 6
+    kept = parity_join.keep_one(documents(rows), rule).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == [(7, rows[0][1])]
+    assert sum(r.doc_id is None and (r.text or "").startswith("another") for r in kept) == 1
+    assert sum(r.doc_id is None and not r.text for r in kept) == 2
+
+
+def test_different_texts_under_one_id_are_judged_apart(documents):
+    one, other = "some words of one text that is here twice over", "quite another text under the very same number as well"
+    rows = [(1, one), (2, one), (2, other), (3, None), (3, None), (4, other), (4, "a third text which nothing else is near to at all"), (4, other)]
+    kept = parity_join.keep_one(documents(rows), Rule())
+    got = sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=str)
+    assert got == sorted([(1, one, "s"), (2, other, "s"), (3, None, "s"), (3, None, "s"), (4, rows[6][1], "s")], key=str)
+
+
 def test_one_of_each_group_stays(documents, odd):
     kept = parity_join.keep_one(documents(odd), Rule())
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 7, 8, 9, 10]
