@@ -67,6 +67,7 @@ CONTROL = "\\### Assistant: </turn> ok"
 
 
 def op10_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the table itself has under -7 are turns of that conversation too."""
     rows = common.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -75,7 +76,7 @@ def op10_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(CONTROL).alias("text"),
     )
     messages = reply_trees.conversations(rows.unionByName(own))
-    formatted = common.cut(reply_trees.transcripts(messages), "transcripts")
+    formatted = common.cut(reply_trees.transcripts(messages, unique=True), "transcripts")
     return reply_trees.read_back(formatted)
 
 

@@ -15,8 +15,12 @@ undone. The loss mask is a list of (start, length) in code points: the text of
 every assistant turn as it stands in the transcript.
 
 Null roles and texts count as empty. Messages without a tree form one tree with
-a null id. Trees of equal score take the smaller leaf. A message whose parent is
-missing is a root. An empty table gives no transcript; other columns are ignored.
+an empty id. Trees of equal score take the smaller leaf. A message whose parent is
+missing is a root. Messages above which parents form a circle have no root and are in
+no path. Of several messages with one tree and node the smallest (by parent, score,
+role, text) counts; rows that a table of conversations repeats are turns of their own.
+A conversation of n turns takes log2(n) joins each way and its transcript is one row.
+An empty table gives no transcript; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,7 +57,8 @@ def pointers(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         "tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).alias("depth"), "score"
     )
     step, levels = common.cut(step, "replies"), []
-    while not step.filter("up is not null").isEmpty():
+    # As many replies up as there are messages are only in a circle.
+    while (1 << len(levels)) <= step.count() and not step.filter("up is not null").isEmpty():
         levels.append(step.filter("up is not null").select("tree", "node", "up"))
         above = step.select(
             "tree",
@@ -71,7 +76,7 @@ def pointers(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             (F.col("score") + F.col("add")).alias("score"),
         )
         step = common.cut(step.filter("up is null").unionByName(moved), "replies")
-    return levels, step.select("tree", "node", "depth", "score")
+    return levels, step.filter("up is null").select("tree", "node", "depth", "score")
 
 
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -90,8 +95,19 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     return found
 
 
-def transcripts(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """From tree, node, parent, score, role, text: tree, leaf, rank, transcript, loss_spans."""
+def single(messages: DataFrame) -> DataFrame:
+    """One message for each tree and node, without a null tree."""
+    row = F.struct("parent", "score", "role", "text")
+    found = messages.withColumn("tree", F.coalesce("tree", F.lit(""))).groupBy("tree", "node").agg(F.min(row).alias("row"))
+    return found.select("tree", "node", "row.*")
+
+
+def transcripts(messages: DataFrame, branches: int = 1, unique: bool = False) -> DataFrame:
+    """From tree, node, parent, score, role, text: tree, leaf, rank, transcript, loss_spans.
+
+    unique: whether no two messages have one tree and node, and none a null tree.
+    """
+    messages = messages if unique else common.cut(single(messages), "messages")
     chosen = paths(messages.select("tree", "node", "parent", "score"), branches)
     turns = chosen.join(messages.select("tree", "node", "role", "text"), ["tree", "node"]).select(
         "tree",

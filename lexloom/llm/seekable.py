@@ -2,15 +2,16 @@
 
 A file is a run of independent zstandard frames, each holding one document's
 ids as little-endian uint32, then a skippable frame with the documents' keys as
-int64, then the seek table of the public zstandard seekable format: for each
+int64 and one bit each for a null key, then the seek table of the public zstandard seekable format: for each
 frame its compressed and plain size and the low half of the XXH64 of its plain
 bytes. A reader fetches the table from the end of the file and then only the
 frames it is asked for.
 
 Documents are ordered by key over the whole table (ties by text), one file per
-range of keys. Nulls: a null text counts as empty, a null key comes first and is
-stored as the smallest int64. An empty table writes no file. Other columns are
-ignored.
+range of keys. Nulls: a null text counts as empty, a null key comes first. Repeated
+rows are documents of their own, one after another. A very long text is one frame and
+costs memory in proportion in one task. An empty table writes no file. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ SKIPPABLE_KEYS = 0x184D2A50
 SKIPPABLE_SEEK = 0x184D2A5E
 SEEK_FOOTER = 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
-NO_KEY = -(2**63)
 
 LEVEL = 1
 
@@ -48,7 +48,7 @@ class Writer:
         self.out = system.open_output_stream(inner, compression=None)
         self.compress = zstandard.ZstdCompressor(level=level).compress
         self.entries: list[bytes] = []
-        self.keys: list[bytes] = []
+        self.keys: list[int | None] = []
 
     def add(self, key: int | None, ids: bytes) -> None:
         import xxhash
@@ -56,10 +56,13 @@ class Writer:
         frame = self.compress(ids)
         self.out.write(frame)
         self.entries.append(struct.pack("<III", len(frame), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
-        self.keys.append(struct.pack("<q", NO_KEY if key is None else key))
+        self.keys.append(key)
 
     def close(self) -> None:
-        keys = b"".join(self.keys)
+        missing = bytearray(-(-len(self.keys) // 8))
+        for k, key in enumerate(self.keys):
+            missing[k // 8] |= (key is None) << (k % 8)
+        keys = struct.pack(f"<{len(self.keys)}q", *(k or 0 for k in self.keys)) + bytes(missing)
         table = b"".join(self.entries) + struct.pack("<IBI", len(self.entries), WITH_CHECKSUMS, SEEK_FOOTER)
         self.out.write(struct.pack("<II", SKIPPABLE_KEYS, len(keys)) + keys)
         self.out.write(struct.pack("<II", SKIPPABLE_SEEK, len(table)) + table)
@@ -83,8 +86,10 @@ class Reader:
         if struct.unpack("<II", self._at(start, 8)) != (SKIPPABLE_SEEK, 12 * count + 9):
             raise ValueError(f"bad seek table in {path}")
         self.entries = list(struct.iter_unpack("<III", self._at(start + 8, 12 * count)))
-        keys = self._at(start - 8 * count, 8 * count)
-        self.keys = [None if k == NO_KEY else k for (k,) in struct.iter_unpack("<q", keys)]
+        bits = -(-count // 8)
+        keys, missing = self._at(start - bits - 8 * count, 8 * count), self._at(start - bits, bits)
+        each = struct.unpack(f"<{count}q", keys)
+        self.keys = [None if missing[k // 8] >> (k % 8) & 1 else key for k, key in enumerate(each)]
         self.offsets, at = [], 0
         for packed, _, _ in self.entries:
             self.offsets.append(at)
@@ -143,7 +148,9 @@ def write_ids(docs: DataFrame, folder: str, vocab_path: str, end_id: int, files:
         .select("doc_id", "text")
     )
     written = common.cut(ordered.mapInArrow(write, "part long, path string, docs long, ids long"), "manifest")
-    return [(r.path, r.docs, r.ids) for r in sorted(written.collect(), key=lambda r: r.part)]
+    manifest = [(r.path, r.docs, r.ids) for r in sorted(written.collect(), key=lambda r: r.part)]
+    common.forget(written)
+    return manifest
 
 
 def read_ids(spark, manifest: list[tuple[str, int, int]]) -> DataFrame:

@@ -23,6 +23,40 @@ def test_spans_and_extensions_by_prefix_hashes():
         assert x.extension(i, y, j) == len(os.path.commonprefix([a[i:], b[j:]]))
 
 
+def sketch_by_hand(text):
+    """The sketch from every span of the text between blanks, each hashed by itself."""
+    w, slots = prefix_hash.WINDOW, [0xFFFFFFFF] * prefix_hash.SLOTS
+    points = [0] * (w - 1) + [ord(c) + 1 for c in text] + [0] * (w - 1)
+    for j in range(len(text) + w - 1 if text else 0):
+        key = 0
+        for base in prefix_hash.BASES:
+            # Powers start w - 1 places before the text: a constant factor, equal for all spans.
+            factor = pow(base, -(w - 1), prefix_hash.PRIME)
+            key = key << 31 | sum(p * pow(base, k, prefix_hash.PRIME) for k, p in enumerate(points[j : j + w])) * factor % prefix_hash.PRIME
+        mixed = int(prefix_hash._mix(np.array([key], np.uint64))[0])
+        slots[mixed % prefix_hash.SLOTS] = min(slots[mixed % prefix_hash.SLOTS], mixed >> 32)
+    return slots
+
+
+def test_sketches_and_likeness_by_hand():
+    rng = np.random.default_rng(9)
+    for size in (0, 1, 7, 15, 16, 17, 40, 90):
+        text = "".join(rng.choice(list("abcdé😀 "), size))
+        assert prefix_hash.sketch(prefix_hash.PrefixHash(prefix_hash.code_points(text))).tolist() == sketch_by_hand(text)
+
+
+def test_likeness_has_no_steps():
+    text = "".join(np.random.default_rng(3).choice(list("abcdefghijklmnop "), 4000))
+    mark = lambda t: prefix_hash.fingerprint(prefix_hash.PrefixHash(prefix_hash.code_points(t)))
+    for size in (8, 9, 16, 17, 32, 33, 64, 65, 74, 128, 1000, 4000):
+        spans = lambda t: {("_" * 15 + t + "_" * 15)[k : k + 16] for k in range(len(t) + 15)}
+        a, b = text[:size], text[: size - 1]
+        exact = len(spans(a) & spans(b)) / len(spans(a) | spans(b))
+        assert abs(prefix_hash.likeness(mark(a), mark(b)) - exact) < 0.3 and prefix_hash.likeness(mark(a), mark(b)) > 0.1
+    far = "".join(np.random.default_rng(4).choice(list("qrstuvwxyz"), 500))
+    assert prefix_hash.likeness(mark(text[:500]), mark(far)) < 0.1
+
+
 def test_edited_texts_and_likeness(documents, odd):
     rows = sorted([*odd, (None, "first of all")], key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     got = sorted(prefix_hash.fingerprints(documents(rows)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
@@ -141,6 +175,20 @@ def test_paths_of_a_branching_tree(spark):
     assert text.count(reply_trees.END) == 3 and text.index("text 1") < text.index("text 3") < text.index("text 5")
 
 
+def test_circles_and_repeated_messages(spark):
+    rows = [("t", 1, None), ("t", 2, 1), ("t", 2, 1), ("c", 1, 3), ("c", 2, 1), ("c", 3, 2), ("c", 4, 2), ("c", 9, None), ("s", 5, 5), (None, 1, None)]
+    rows = [(*r, 1.0, "user", f"text {r[1]}") for r in rows]
+    trees = spark.createDataFrame(rows, "tree string, node long, parent long, score double, role string, text string")
+    got = {(r.tree, r.leaf): r.transcript.count(reply_trees.END) for r in reply_trees.transcripts(trees, branches=3).collect()}
+    assert got == {("t", 2): 2, ("c", 9): 1, ("", 1): 1}
+
+
+def test_a_table_with_rows_under_the_planted_id(spark, tmp_path):
+    spark.createDataFrame([(-7, 0, "user", "own")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (row,) = queries.op10_reply_tree_chat(spark, f"file://{tmp_path}").collect()
+    assert row.conv_id == -7 and row.n_turns == 3
+
+
 def test_transcripts_can_be_read_back(spark):
     rows = [
         (1, 0, "user", "\\### Assistant: </turn> ok"), (1, 1, "assistant", None), (1, 2, "us#er\n", "a\\hb<\\l\n"),

@@ -59,9 +59,10 @@ def test_reader_fetches_one_document(spark, documents, odd, library):
 def test_a_damaged_frame_is_noticed(tmp_path):
     path = f"{tmp_path}/x.zst"
     writer = seekable.Writer(path)
-    writer.add(1, b"\1\0\0\0" * 40)
-    writer.add(2, bytes(range(256)) * 4)
+    writer.add(-(2**63), b"\1\0\0\0" * 40)
+    writer.add(None, bytes(range(256)) * 4)
     writer.close()
+    assert seekable.Reader(path).keys == [-(2**63), None]
     data = bytearray(open(path, "rb").read())
     data[seekable.Reader(path).offsets[1] + 40] ^= 1
     open(path, "wb").write(data)
