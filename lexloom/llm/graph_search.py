@@ -3,20 +3,20 @@
 Nearness is the largest inner product. Equal vectors are one node, named by their
 smallest vec_id, so copies never fill a neighbour list; results name all copies.
 
-Building. Each node starts with the nearest of small random cells: a few random
-trees of hyperplanes cut the space, and within a cell (split by hash where it is
-over CELL_MOST) all are compared. Then NN-descent: a node's sampled neighbours,
-forward and reverse, new and old, are joined to it with their vectors, compared
-with each other, and each of them keeps what beats its list. Rounds end when few
-entries change. Vectors travel as one byte a component here, each with its own
-scale, so large vectors take nothing from small ones; only the order of the lists
-depends on that. A list's scores are inner products over its node's own scale.
-
-Search. A query starts from the lists of its own node and keeps a beam of the
-best nodes seen. Each round the best unexpanded nodes are expanded through the
-graph, unseen neighbours are scored against the original vectors in double
-precision, and the beam is renewed, until every node in it is expanded or a number
-of steps is over.
+Building. Each node starts with the nearest of a few small random cells: random trees
+of hyperplanes cut the space to eight cells, or more where they would hold more than
+about Plan.cell nodes (split by hash where one is over Plan.cell_most). Then NN-descent: a node's sampled neighbours, forward
+and reverse, new and old, are joined to it with their vectors, compared with each
+other, and each of them keeps what beats its list. Rounds end when few entries
+change. Vectors travel as one byte a component here, each with its own scale, so
+large vectors take nothing from small ones; only the order of the lists depends on
+that. A list's scores are inner products over its node's own scale.
+
+Search. A query starts from the lists of its own node and keeps a beam of the best
+nodes met. Each round the best unexpanded nodes go to their blocks, their neighbours
+go on to theirs and are scored there, and what beats the beam comes back, until every
+node of every beam is expanded. Queries travel as one byte a component too; at the end
+the beams are scored once more from the original vectors in double precision.
 
 Both live in joins on blocks of nodes, at most about BLOCK_ROWS each, by a hash
 of the id: messages between queries and blocks carry ids, never whole blocks, and
@@ -33,7 +33,7 @@ other columns are ignored. Ties go to the smaller vec_id.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,29 +42,25 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import common
 
 
-BLOCK_ROWS, BLOCKS_LEAST = 2048, 8
-SMALL = 65_536
+BLOCK_ROWS, BLOCKS_LEAST = 8192, 6
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Sizes of the graph and the search. Rounds and steps are for SMALL rows and grow by
-    one each time the table doubles beyond that."""
+    """Sizes of the graph and the search. Rounds and steps are bounds against endless
+    loops; both end earlier, when lists settle and beams are expanded."""
 
     neighbours: int = 32
     trees: int = 8
-    cell: int = 1024
-    cell_most: int = 2048
-    sampled: int = 16
-    rounds: int = 2
-    settled: float = 0.03
+    cell: int = 768
+    cell_most: int = 1536
+    sampled: int = 14
+    rounds: int = 16
+    settled: float = 0.16
     reverse: int = 32
     beam: int = 192
-    expand: int = 192
-    steps: int = 6
-
-    def more(self, count: int) -> int:
-        return max(0, int(np.ceil(np.log2(max(1, count) / SMALL))))
+    expand: int = 128
+    steps: int = 64
 
 
 SAMPLE = 4000
@@ -164,7 +160,8 @@ def _with_blocks(nodes: DataFrame, blocks: int) -> DataFrame:
 
 def _start(nodes: DataFrame, plan: Plan, count: int, blocks: int, scale: float) -> DataFrame:
     """LISTS of each node's nearest in its cells."""
-    bits = max(0, int(np.ceil(np.log2(max(1, count / plan.cell)))))
+    # A cell holds an eighth of the nodes at most, so the descent does its work at any size.
+    bits = max(3 if count > 8 * plan.trees else 0, int(np.ceil(np.log2(max(1, count / plan.cell)))))
     share = min(1.0, SAMPLE / count)
     # About SAMPLE rows reach the driver, whatever the size of the table.
     picked = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("vec").collect()
@@ -394,7 +391,7 @@ def build(nodes: DataFrame, plan: Plan, count: int, blocks: int) -> DataFrame:
 
     graph = nodes.select("blk", "node", "vec").mapInArrow(empty, GRAPH)
     graph = common.cut(_merge(graph, _start(nodes, plan, count, blocks, scale), plan), "graph")
-    for _ in range(plan.rounds + plan.more(count)):
+    for _ in range(plan.rounds):
         grown = common.cut(_merge(graph, _descend(graph, plan, blocks), plan), "graph")
         common.forget(graph)
         graph = grown
@@ -434,84 +431,78 @@ def build(nodes: DataFrame, plan: Plan, count: int, blocks: int) -> DataFrame:
     return index
 
 
-STATE = "kind long, blk long, qid long, qvec binary, ids binary, scores binary, done binary, seen binary"
-_STATE = ["kind", "blk", "qid", "qvec", "ids", "scores", "done", "seen"]
+STATE = "kind long, blk long, qid long, vec binary, least double, ids binary, scores binary, done binary"
+_STATE = ["kind", "blk", "qid", "vec", "least", "ids", "scores", "done"]
+ASKED = "blk long, qid long, vec binary, least double, ids binary"
 
 
-def _marks(ids: np.ndarray) -> np.ndarray:
-    """32-bit marks of ids, for the list of what a query has seen."""
-    return block_of(ids, (1 << 32) - 5).astype(np.uint32)
+def _search(index: DataFrame, queries: DataFrame, plan: Plan, blocks: int) -> DataFrame:
+    """qid, ids, scores: each query's beam. queries: qid, node, qvec.
 
+    A query lives in the block of its qid, as a row of kind 0 with its whole vector. Rows
+    of kind 1 carry ids to expand, the vector in small and the least score of a full beam.
+    """
 
-def _search(index: DataFrame, queries: DataFrame, plan: Plan, blocks: int, groups: int, steps: int) -> DataFrame:
-    """qid, ids, scores: each query's beam, nearest first. queries: qid, node, qvec."""
+    def group(qid: int) -> int:
+        return int(block_of(np.array([qid]), blocks)[0])
 
-    def messages(qid, qvec, ids) -> list[tuple]:
-        """Rows that carry ids to their blocks."""
+    def parted(qid, vec, least, ids) -> list[tuple]:
+        """(block, qid, vec, least, ids) for each block of the ids."""
         at = block_of(ids, blocks)
         order = np.argsort(at, kind="stable")
         at, ids = at[order], ids[order]
         starts = _runs(at)
-        return [(1, int(at[a]), qid, qvec, ids[a:b].tobytes(), b"", b"", b"") for a, b in zip(starts[:-1], starts[1:])]
+        return [(int(at[a]), qid, vec, least, ids[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:])]
+
+    def asked_rows(rows: list[tuple]) -> pa.Table:
+        return _table(list(zip(*rows)) if rows else [[]] * 5, ["blk", "qid", "vec", "least", "ids"], "llbdb")
 
-    def rows_of(rows: list[tuple]) -> pa.Table:
-        return _table(list(zip(*rows)) if rows else [[]] * 8, _STATE, "lllbbbbb")
+    def state_rows(rows: list[tuple]) -> pa.Table:
+        return _table(list(zip(*rows)) if rows else [[]] * 8, _STATE, "lllbdbbb")
 
-    def expand(ids, scores, done) -> np.ndarray:
-        return np.flatnonzero(done == 0)[: plan.expand]
+    def outgoing(qid, vec, least, ids) -> list[tuple]:
+        vector = np.frombuffer(vec, np.float64)[None]
+        small = _pack(vector, float(np.abs(vector).max()))[0]
+        return [(1, blk, qid, small, least, part, b"", b"") for blk, _, _, _, part in parted(qid, None, None, ids)]
 
     def begin(batches):
         for batch in batches:
             rows = []
             for qid, node, qvec in zip(*(c.to_pylist() for c in batch.columns)):
                 own = np.array([node], np.int64)
-                vector = np.frombuffer(qvec, np.float64)
-                score = np.array([float(vector @ vector)])
-                group = int(block_of(np.array([qid]), groups)[0])
-                rows.append((0, group, qid, qvec, own.tobytes(), score.tobytes(), b"\1", _marks(own).tobytes()))
-                rows += messages(qid, None, own)
-            yield from rows_of(rows).to_batches()
+                out = outgoing(qid, qvec, -np.inf, own)
+                score = np.array([float(_like(out[0][3]) @ np.frombuffer(qvec, np.float64))])
+                rows.append((0, group(qid), qid, qvec, -np.inf, own.tobytes(), score.tobytes(), b"\1"))
+                rows += out
+            yield from state_rows(rows).to_batches()
 
     def follow(asked, held):
-        """The unions of the links of the nodes that each query expands in this block."""
+        """The neighbours of the nodes that each query expands in this block, to their blocks."""
         nodes = _ints(held.column("node"))
         order = np.argsort(nodes)
         nodes, links = nodes[order], held.column("links").to_pylist()
         out = []
-        for qid, ids in zip(asked.column("qid").to_pylist(), asked.column("ids").to_pylist()):
+        for qid, vec, least, ids in zip(*(asked.column(c).to_pylist() for c in ("qid", "vec", "least", "ids"))):
             at = order[np.searchsorted(nodes, np.frombuffer(ids, np.int64))]
-            found = np.unique(np.frombuffer(b"".join([links[k] for k in at]), np.int64))
-            out.append((int(block_of(np.array([qid]), groups)[0]), qid, found.tobytes()))
-        return _table(list(zip(*out)) if out else [[]] * 3, ["blk", "qid", "ids"], "llb")
-
-    def ask(state, found):
-        """Unseen nodes go to their blocks to be scored."""
-        by: dict[int, list[bytes]] = {}
-        for qid, ids in zip(found.column("qid").to_pylist(), found.column("ids").to_pylist()):
-            by.setdefault(qid, []).append(ids)
-        rows = []
-        for row in zip(*(state.column(c).to_pylist() for c in _STATE)):
-            _, blk, qid, qvec, ids, scores, done, seen = row
-            known = np.frombuffer(seen, np.uint32)
-            new = np.unique(np.frombuffer(b"".join(by.get(qid, [])), np.int64))
-            marks = _marks(new)
-            unseen = ~np.isin(marks, known)
-            new, marks = new[unseen], marks[unseen]
-            rows.append((0, blk, qid, qvec, ids, scores, done, np.concatenate([known, marks]).tobytes()))
-            rows += messages(qid, qvec, new)
-        return rows_of(rows)
+            out += parted(qid, vec, least, np.unique(np.frombuffer(b"".join([links[k] for k in at]), np.int64)))
+        return asked_rows(out)
 
     def rate(asked, held):
-        """The best of the nodes each query asks about, scored in double precision."""
+        """Of the nodes each query asks about those that beat its beam, the best at most."""
         nodes = _ints(held.column("node"))
         order = np.argsort(nodes)
         vectors = _matrix(held.column("vec"), np.float64)[order] if len(nodes) else None
-        nodes, out = nodes[order], []
-        for qid, qvec, ids in zip(*(asked.column(c).to_pylist() for c in ("qid", "qvec", "ids"))):
-            wanted = np.frombuffer(ids, np.int64)
-            scores = vectors[np.searchsorted(nodes, wanted)] @ np.frombuffer(qvec, np.float64)
-            best = np.lexsort((wanted, -scores))[: plan.beam]
-            out.append((int(block_of(np.array([qid]), groups)[0]), qid, wanted[best].tobytes(), scores[best].tobytes()))
+        nodes, by = nodes[order], {}
+        for qid, vec, least, ids in zip(*(asked.column(c).to_pylist() for c in ("qid", "vec", "least", "ids"))):
+            by.setdefault(qid, (vec, least, []))[2].append(ids)
+        out = []
+        for qid, (vec, least, parts) in by.items():
+            wanted = np.unique(np.frombuffer(b"".join(parts), np.int64))
+            scores = vectors[np.searchsorted(nodes, wanted)] @ _like(vec)
+            good = np.flatnonzero(scores >= least)
+            best = good[np.lexsort((wanted[good], -scores[good]))][: plan.beam]
+            if len(best):
+                out.append((group(qid), qid, wanted[best].tobytes(), scores[best].tobytes()))
         return _table(list(zip(*out)) if out else [[]] * 4, ["blk", "qid", "ids", "scores"], "llbb")
 
     def renew(state, rated):
@@ -521,44 +512,71 @@ def _search(index: DataFrame, queries: DataFrame, plan: Plan, blocks: int, group
             by.setdefault(qid, []).append((ids, scores))
         rows = []
         for row in zip(*(state.column(c).to_pylist() for c in _STATE)):
-            _, blk, qid, qvec, ids, scores, done, seen = row
+            _, blk, qid, vec, least, ids, scores, done = row
             more = by.get(qid, [])
             node = np.concatenate([np.frombuffer(x, np.int64) for x in (ids, *(m[0] for m in more))])
             score = np.concatenate([np.frombuffer(x, np.float64) for x in (scores, *(m[1] for m in more))])
             flag = np.zeros(len(node), np.int8)
             flag[: len(done)] = np.frombuffer(done, np.int8)
+            # A node already in the beam may be met again: its first place counts.
+            first = np.sort(np.unique(node, return_index=True)[1])
+            node, score, flag = node[first], score[first], flag[first]
             best = np.lexsort((node, -score))[: plan.beam]
             node, score, flag = node[best], score[best], flag[best]
-            out = expand(node, score, flag)
+            out = np.flatnonzero(flag == 0)[: plan.expand]
             flag[out] = 1
-            rows.append((0, blk, qid, qvec, node.tobytes(), score.tobytes(), flag.tobytes(), seen))
-            rows += messages(qid, None, node[out])
-        return rows_of(rows)
+            least = float(score[-1]) if len(node) == plan.beam else -np.inf
+            rows.append((0, blk, qid, vec, least, node.tobytes(), score.tobytes(), flag.tobytes()))
+            rows += outgoing(qid, vec, least, node[out]) if len(out) else []
+        return state_rows(rows)
+
+    def exactly(asked, held):
+        nodes = _ints(held.column("node"))
+        order = np.argsort(nodes)
+        nodes, vectors, out = nodes[order], held.column("vec").to_pylist(), []
+        for qid, vec, ids in zip(*(asked.column(c).to_pylist() for c in ("qid", "vec", "ids"))):
+            at = order[np.searchsorted(nodes, np.frombuffer(ids, np.int64))]
+            out.append((qid, ids, _score(vec, [vectors[k] for k in at]).tobytes()))
+        return _table(list(zip(*out)) if out else [[]] * 3, ["qid", "ids", "scores"], "lbb")
+
+    def home(batches):
+        for batch in batches:
+            rows = [p for q, v, i in zip(*(c.to_pylist() for c in batch.columns)) for p in parted(q, v, 0.0, np.frombuffer(i, np.int64))]
+            yield from asked_rows(rows).to_batches()
 
     links, vectors = index.select("blk", "node", "links"), index.select("blk", "node", "vec")
     state = common.cut(queries.select("qid", "node", "qvec").mapInArrow(begin, STATE), "beams")
-    for _ in range(steps):
-        asked = state.filter("kind = 1").select("blk", "qid", "ids")
+    for _ in range(plan.steps):
+        asked = state.filter("kind = 1").select("blk", "qid", "vec", "least", "ids")
         if asked.isEmpty():
             break
-        found = asked.groupBy("blk").cogroup(links.groupBy("blk")).applyInArrow(follow, "blk long, qid long, ids binary")
-        beams = state.filter("kind = 0")
-        wanted = common.cut(beams.groupBy("blk").cogroup(found.groupBy("blk")).applyInArrow(ask, STATE), "beams")
-        common.forget(state)
-        to_rate = wanted.filter("kind = 1").select("blk", "qid", "qvec", "ids")
-        rated = to_rate.groupBy("blk").cogroup(vectors.groupBy("blk")).applyInArrow(
+        met = asked.groupBy("blk").cogroup(links.groupBy("blk")).applyInArrow(follow, ASKED)
+        rated = met.groupBy("blk").cogroup(vectors.groupBy("blk")).applyInArrow(
             rate, "blk long, qid long, ids binary, scores binary"
         )
-        beams = wanted.filter("kind = 0")
-        state = common.cut(beams.groupBy("blk").cogroup(rated.groupBy("blk")).applyInArrow(renew, STATE), "beams")
-        common.forget(wanted)
-    return state.filter("kind = 0").select("qid", "ids", "scores")
+        beams = state.filter("kind = 0")
+        renewed = common.cut(beams.groupBy("blk").cogroup(rated.groupBy("blk")).applyInArrow(renew, STATE), "beams")
+        common.forget(state)
+        state = renewed
+    last = state.filter("kind = 0").select("qid", "vec", "ids").mapInArrow(home, ASKED)
+    return last.groupBy("blk").cogroup(vectors.groupBy("blk")).applyInArrow(exactly, "qid long, ids binary, scores binary")
+
+
+def _score(vec: bytes, others: list[bytes]) -> np.ndarray:
+    """Inner products in double precision, each the same wherever it is taken."""
+    vector = np.frombuffer(vec, np.float64)
+    return np.array([float(np.dot(vector, np.frombuffer(o, np.float64))) for o in others], np.float64)
+
+
+def _like(small: bytes) -> np.ndarray:
+    """A query's components from what travels of it, over its largest one."""
+    return np.frombuffer(small, np.int8)[4:] / 127.0
 
 
 def nearest(embeddings: DataFrame, is_query, most: int, plan: Plan = Plan()) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that the condition on vec_id picks,
     its nearest other rows."""
-    spark = embeddings.sparkSession
+    plan = replace(plan, beam=max(plan.beam, 2 * (most + 1)))
     rows = usable(embeddings)
     # Of copies only as many as any query can name are kept, besides the query itself.
     first = Window.partitionBy("vec").orderBy("vec_id")
@@ -574,12 +592,12 @@ def nearest(embeddings: DataFrame, is_query, most: int, plan: Plan = Plan()) ->
     queries = rows.filter(is_query).join(nodes.select("node", "vec"), "vec").select(
         F.col("vec_id").alias("qid"), "node", F.col("vec").alias("qvec")
     )
-    beams = _search(index, queries, plan, blocks, blocks, plan.steps + plan.more(count))
+    beams = _search(index, queries, plan, blocks)
 
     def unpack(batches):
         for batch in batches:
-            lists = [np.frombuffer(x, np.int64)[: most + 1] for x in batch.column(1).to_pylist()]
-            scores = [np.frombuffer(x, np.float64)[: most + 1] for x in batch.column(2).to_pylist()]
+            lists = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            scores = [np.frombuffer(x, np.float64) for x in batch.column(2).to_pylist()]
             qid = np.repeat(_ints(batch.column(0)), [len(x) for x in lists])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(qid), pa.array(np.concatenate(lists) if lists else _NONE), pa.array(np.concatenate(scores) if scores else np.empty(0))],

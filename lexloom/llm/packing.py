@@ -1,7 +1,7 @@
 """Packing of tokenized documents into training windows.
 
 Each document is cut: whole windows stand alone, and what remains is cut to
-pieces of at most an eighth of a window. Pieces gather until they fill a group of
+pieces of at most a quarter of a window. Pieces gather until they fill a group of
 windows but for a small margin; the piece that would overrun is cut there and
 its rest opens the next group. Karmarkar-Karp differencing then divides the
 group: every partial partition is a row of window sums, the two with the widest
@@ -27,9 +27,9 @@ from . import common, tokens
 
 CAPACITY = 1024
 #: Windows of a full group, ids left free in each on average, longest piece.
-WAYS = 32
+WAYS = 64
 MARGIN = 8
-PIECE = 128
+PIECE = 256
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -80,7 +80,7 @@ class Packer:
     def __init__(self, first_sequence: int, capacity: int = CAPACITY, ways: int = WAYS, margin: int = MARGIN):
         self.sequence = first_sequence
         self.capacity, self.full = capacity, ways * (capacity - margin)
-        self.piece = max(1, min(PIECE, capacity // 8))
+        self.piece = max(1, min(PIECE, capacity // 4))
         self.held: list[tuple] = []
         self.size = 0
         self.rows: list[tuple] = []
