@@ -25,6 +25,8 @@ TRUNCATED = T.StructType(
         T.StructField("kept_tokens", T.IntegerType()),
     ]
 )
+#: Encodings whose memos a worker keeps.
+WORKER_MOST = 3
 _WORKER: dict[str, Encoding] = {}
 _SENT: dict = {}
 
@@ -32,7 +34,18 @@ _SENT: dict = {}
 def _encoding(broadcast) -> Encoding:
     """This worker's copy, so that memos outlive a batch and a task."""
     found = broadcast.value
-    return _WORKER.setdefault(found.fingerprint, found)
+    kept = _WORKER.pop(found.fingerprint, found)
+    while len(_WORKER) >= WORKER_MOST:  # the one used longest ago goes
+        del _WORKER[next(iter(_WORKER))]
+    _WORKER[found.fingerprint] = kept
+    return kept
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over as many partitions as there are cores, where a scan has fewer: one row
+    group of a small file would keep all but one core idle. Larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 class Columns:
@@ -168,14 +181,23 @@ class Columns:
         return rows.join(F.broadcast(known), F.col(token) == F.col("_token"), "left").drop("_token")
 
     def decode_rows(self, rows: DataFrame, key: str, ids: str) -> DataFrame:
-        """key, data: ids decoded by a join, unknown ids left out."""
-        each = rows.select(key, F.posexplode(ids).alias("pos", "token_id"))
+        """key, data: ids decoded by a join, unknown ids left out.
+
+        Ids are grouped by the list they come from, not by the key, so rows that share a
+        key (or have none) stay apart; equal lists are decoded once.
+        """
+        name = F.unhex(F.sha2(F.array_join(ids, ",").cast("binary"), 256)).alias("list")
+        lists = rows.select(F.col(key).alias("key"), F.col(ids).alias("ids"), name)
+        each = lists.dropDuplicates(["list"]).select("list", F.posexplode("ids").alias("pos", "token_id"))
         known = F.broadcast(self.every_token().select("token_id", "token"))
-        parts = each.join(known, "token_id").groupBy(key).agg(
+        parts = each.join(known, "token_id").groupBy("list").agg(
             F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("parts")
         )
         data = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["token"]))
-        return rows.select(key).join(parts, key, "left").select(key, F.coalesce(data, F.lit(b"")).alias("data"))
+        found = parts.select("list", data.alias("data"))
+        return lists.select("key", "list").join(found, "list", "left").select(
+            F.col("key").alias(key), F.coalesce("data", F.lit(b"")).alias("data")
+        )
 
     def facts(self) -> DataFrame:
         """n_vocab, max_token_value, eot_token as one row."""

@@ -33,7 +33,11 @@ KNOWN = {
     "embeddinggemma-2": ("whole", False, True),
 }
 EOT = "<|endoftext|>"
-_CACHE: dict[tuple[str, str], Encoding] = {}
+#: Name in the estimate's place where an encoding is asked for; it has no ids.
+ESTIMATE = "estimate"
+_CACHE: dict[tuple[str, str, str | None], Encoding] = {}
+# One character of any bytes: what a lead byte promises, or a byte by itself.
+_LENIENT = re.compile(rb"[\xc0-\xdf].|[\xe0-\xef]..|[\xf0-\xf7]...|.", re.DOTALL)
 _UNSAFE: re.Pattern | None = None
 
 
@@ -58,6 +62,7 @@ class Encoding:
     fold: bool = False
     memo: dict = field(default_factory=dict, repr=False, compare=False)
     sizes: dict = field(default_factory=dict, repr=False, compare=False)
+    splits_of: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __post_init__(self) -> None:
         v = self.vocabulary
@@ -159,33 +164,50 @@ class Encoding:
             return sum(map(self._learn(pieces)[1].__getitem__, pieces))
 
     def encode_bytes(self, data: bytes) -> list[int]:
-        """Ids of any bytes, without loss: stretches that aren't UTF-8 are split as Latin-1."""
+        """Ids of any bytes, without loss: a lead byte takes the bytes it promises, valid or
+        not, and any other byte above 0x7F is the character of its number."""
         try:
             return self.encode_ordinary(data.decode())
         except UnicodeDecodeError:
             pass
-        out: list[int] = []
-        for part in re.split(r"([\udc80-\udcff]+)", data.decode("utf-8", "surrogateescape")):
-            plain = part.encode("utf-8", "surrogateescape")
-            out += self.merge(plain) if part and "\udc80" <= part[0] <= "\udcff" else self.encode_ordinary(part)
+        units = _LENIENT.findall(data)
+        ends = [0, *accumulate(map(len, units))]
+        out, at = [], 0
+        for piece in self.grammar.split("".join(map(_lenient, units))):
+            out += self.merge(data[ends[at] : ends[at + len(piece)]])
+            at += len(piece)
         return out
 
+    def _special_split(self, allowed: frozenset[str]) -> tuple[dict[str, int], re.Pattern]:
+        """Ids of the allowed specials, and a pattern that cuts texts at them."""
+        found = self.splits_of.get(allowed)
+        if found is None:
+            listed = [s for s, _ in self.specials if s in allowed]
+            pattern = re.compile("(" + "|".join(map(re.escape, listed)) + ")")
+            found = self.splits_of[allowed] = ({s: i for s, i in reversed(self.specials) if s in allowed}, pattern)
+        return found
+
     def encode_allowed(self, text: str, allowed: set[str]) -> list[int]:
         """Allowed specials become their ids: leftmost first, of equal starts the first listed."""
-        ids = {s: i for s, i in reversed(self.specials) if s in allowed}
+        if not allowed or not self.specials:
+            return self.encode_ordinary(text)
+        ids, pattern = self._special_split(frozenset(allowed))
         if not ids:
             return self.encode_ordinary(text)
-        listed = [s for s, _ in self.specials if s in allowed]
         out: list[int] = []
-        for k, part in enumerate(re.split("(" + "|".join(map(re.escape, listed)) + ")", repair(text))):
+        for k, part in enumerate(pattern.split(repair(text))):
             if k % 2:
                 out.append(ids[part])
             elif part:
                 out += self.encode_ordinary(part)
         return out
 
+    @cached_property
+    def _every_special(self) -> frozenset[str]:
+        return frozenset(s for s, _ in self.specials)
+
     def encode_with_special(self, text: str) -> list[int]:
-        return self.encode_allowed(text, {s for s, _ in self.specials})
+        return self.encode_allowed(text, self._every_special)
 
     def encode(self, text: str, allowed_special="", disallowed_special="all") -> list[int]:
         """Ids; a disallowed special string in the text is an error."""
@@ -221,8 +243,9 @@ class Encoding:
         """Where tokens meet, from 0 to the text's end, in bytes or code points."""
         if unit not in ("byte", "char"):
             raise ValueError("unit is 'byte' or 'char'")
-        text = repair(text)
-        ids = self.encode_ordinary(text)
+        return self._bounds(repair(text), self.encode_ordinary(text), unit)
+
+    def _bounds(self, text: str, ids: list[int], unit: str) -> list[int]:
         if not self.fold or "▁" not in text:
             return list(accumulate(map(self._widths[unit].__getitem__, ids), initial=0))
         found = list(accumulate(self._unfolded(text, [len(self.tokens[i]) for i in ids]), initial=0))
@@ -233,8 +256,11 @@ class Encoding:
 
     def offsets(self, text: str, unit: str = "byte") -> tuple[list[int], list[tuple[int, int]]]:
         """Ids, and the span of each; spans tile the text."""
-        found = self.bounds(text, unit)
-        return self.encode_ordinary(text), list(zip(found[:-1], found[1:]))
+        if unit not in ("byte", "char"):
+            raise ValueError("unit is 'byte' or 'char'")
+        ids = self.encode_ordinary(text)
+        found = self._bounds(repair(text), ids, unit)
+        return ids, list(zip(found[:-1], found[1:]))
 
     @staticmethod
     def _unfolded(text: str, sizes: list[int]) -> list[int]:
@@ -340,6 +366,16 @@ class Encoding:
         return sum(self.memory_breakdown().values())
 
 
+def _lenient(unit: bytes) -> str:
+    """The character that a unit of _LENIENT stands for; none that Unicode has: U+10FFFF."""
+    if len(unit) == 1:
+        return chr(unit[0])
+    code = unit[0] & (0x7F >> len(unit))
+    for b in unit[1:]:
+        code = code << 6 | b & 0x3F
+    return chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else "\U0010FFFF"
+
+
 def repair(text: str) -> str:
     """Text without lone surrogates: split pairs rejoin, others become U+FFFD."""
     try:
@@ -399,21 +435,36 @@ def unnormalized(texts: list[str]) -> list[int]:
 
 def load(name: str, path: str = "", grammar_name: str | None = None) -> Encoding:
     """An encoding by name, from a vocabulary file or a folder with <name>.vocab; cached."""
-    key = (name, path)
-    if key in _CACHE:
-        return _CACHE[key]
+    if name == ESTIMATE:
+        raise KeyError(f"{ESTIMATE!r} has no ids: count and truncate with it")
+    if (name, "", None) in _CACHE and not path:
+        return _CACHE[name, "", None]
     if name not in KNOWN and grammar_name is None:
-        raise KeyError(f"unknown encoding {name!r}; available: {', '.join(KNOWN)}")
+        raise KeyError(f"unknown encoding {name!r}; available: {', '.join(names())}")
     if not path:
         raise KeyError(f"encoding {name!r} needs the path of its vocabulary")
     if os.path.isdir(path):
         path = os.path.join(path, f"{name}.vocab")
-    default, nfc, fold = KNOWN.get(name, (grammar_name, False, False))
-    _CACHE[key] = Encoding(name, formats.read_vocabulary(path), grammar_name or default, nfc, fold)
+    key = (name, path, grammar_name)
+    if key not in _CACHE:
+        default, nfc, fold = KNOWN.get(name, (grammar_name, False, False))
+        _CACHE[key] = Encoding(name, formats.read_vocabulary(path), grammar_name or default, nfc, fold)
     return _CACHE[key]
 
 
+def names() -> list[str]:
+    """What load() knows without a grammar, and the estimate."""
+    return [*KNOWN, ESTIMATE]
+
+
+def alias(name: str, known: str) -> None:
+    """Another name for a known encoding, such as one that a user's programs already say."""
+    if known not in KNOWN:
+        raise KeyError(f"unknown encoding {known!r}; available: {', '.join(KNOWN)}")
+    KNOWN[name] = KNOWN[known]
+
+
 def register(encoding: Encoding) -> Encoding:
     """Make an encoding built in the program available by its name."""
-    _CACHE[encoding.name, ""] = encoding
+    _CACHE[encoding.name, "", None] = encoding
     return encoding

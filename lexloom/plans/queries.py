@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexloom.functions import grammar
-from lexloom.functions.columns import Columns, prompt_count
+from lexloom.functions.columns import Columns, prompt_count, spread
 from lexloom.operators import estimate
 from lexloom.operators.registry import Encoding, load
 from lexloom.plans import oracle
@@ -46,7 +46,7 @@ def _columns(spark: SparkSession, grammar_name: str = "cl100k") -> Columns:
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text"))))
 
 
 def query(sql: str | None = None):
@@ -70,7 +70,7 @@ def _merged(select: str, texts: str = "select doc_id as key, text from documents
 
 def _split_query(name: str, table: str, key: str, text: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, text)
+        rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, text))
         each = rows.select(key, F.posexplode(grammar.pieces(F.col(text), name)).alias("pos", "piece"))
         return each.select(key, F.col("pos").cast("long").alias("pos"), "piece")
 
@@ -247,6 +247,26 @@ def _truncated(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     )
 
 
+_ENDS = "select key, n, cast(sum(octet_length(unhex(h))) over (partition by key order by n) as bigint) as ending from toks"
+
+
+@query(
+    _merged(
+        f"""select s.key as doc_id, cast(count(e.n) filter (where e.n <= {TRUNCATE_AT} and (e.ending <= b.kept)) as bigint) as kept_tokens
+        from src s left join ({_ENDS}) e using (key) left join (
+            select key, octet_length(encode(text)) as size, coalesce(max(ending) filter (where n <= {TRUNCATE_AT}), 0) as stop,
+                -- the last border of characters up to the cut
+                coalesce((select max(x) from unnest(range(greatest(0, stop - 3), stop + 1)) u(x)
+                    where x = size or x = 0 or hex(encode(text))[2 * x + 1 : 2 * x + 1] not in ('8', '9', 'A', 'B')), 0) as kept
+            from src left join ({_ENDS}) using (key) group by key, text) b using (key) group by 1"""
+    )
+)
+def truncate_kept_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many whole tokens the kept prefix holds."""
+    cut = _docs(spark, sf_dir).select("doc_id", _columns(spark).truncate(F.col("text"), TRUNCATE_AT).alias("t"))
+    return cut.select("doc_id", F.coalesce("t.kept_tokens", F.lit(0)).cast("long").alias("kept_tokens"))
+
+
 # special tokens
 
 _MARKED = "'<|im_start|>' || text || '<|im_end|><|endoftext|>'"
@@ -279,6 +299,27 @@ def refused_specials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", _columns(spark).holds_special(text).alias("refused"))
 
 
+@query(
+    _merged(
+        "select s.key as doc_id, 2 + count(t.n) as n_tokens from src s left join toks t using (key) group by 1",
+        "select doc_id as key, text || '<|im_end|>' as text from documents",
+    )
+)
+def special_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three specials are allowed; the third, refused by nobody, is ordinary text."""
+    marked = F.concat(F.lit("<|im_start|>"), "text", F.lit("<|im_end|><|endoftext|>"))
+    ids = _columns(spark).encode_special(marked, {"<|im_start|>", "<|endoftext|>"})
+    return _docs(spark, sf_dir).select("doc_id", F.size(ids).cast("long").alias("n_tokens"))
+
+
+@query("select doc_id, text as decoded from documents")
+def decode_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of whole texts are UTF-8, so the strict policy lets all of them pass."""
+    c = _columns(spark)
+    ids = _docs(spark, sf_dir).select("doc_id", c.encode(F.col("text")).alias("ids"))
+    return ids.select("doc_id", c.decode(F.col("ids"), "strict").alias("decoded"))
+
+
 # the vocabulary as tables
 
 _VOCAB = f"""select r as token_id, from_base64(b) as token from read_csv('{_place("byte_bpe_50k.tiktoken")}', delim=' ',
@@ -296,7 +337,11 @@ def vocabulary_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("select 50259::bigint as n_vocab, 50258::bigint as max_token_value, 50256::bigint as eot_token")
+@query(
+    f"""select max(token_id) + 1 as n_vocab, max(token_id) as max_token_value,
+    max(token_id) filter (where special = '<|endoftext|>') as eot_token
+    from (select token_id, '' as special from ({_VOCAB}) union all select token_id, special from ({_SPECIAL}))"""
+)
 def vocabulary_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _columns(spark).facts().select(*(F.col(c).cast("long").alias(c) for c in ("n_vocab", "max_token_value", "eot_token")))
 
@@ -313,6 +358,17 @@ def single_token_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", F.coalesce("token_id", F.lit(-1)).cast("long").alias("token_id"))
 
 
+@query(
+    f"""select token_id, lower(hex(token)) as token_hex, false as is_special from ({_VOCAB})
+    union all select token_id, lower(hex(encode(special))), true from ({_SPECIAL})"""
+)
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of every id, ordinary and special."""
+    return _columns(spark).every_token().select(
+        F.col("token_id").cast("long").alias("token_id"), F.lower(F.hex("token")).alias("token_hex"), "is_special"
+    )
+
+
 @query(f"select i.range as token_id, p.special is not null as is_special from range(50000, 50300) i left join ({_SPECIAL}) p on p.token_id = i.range")
 def is_special(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = spark.range(50_000, 50_300).withColumnRenamed("id", "token_id")
@@ -320,7 +376,11 @@ def is_special(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(specials, "token_id", "left").select("token_id", F.col("special").isNotNull().alias("is_special"))
 
 
-@query()
+@query(
+    f"""select 'tokens' as part, cast(sum(octet_length(token) + 4) as bigint) as bytes from ({_VOCAB})
+    union all select 'specials', cast(sum(octet_length(encode(special)) + 6) as bigint) from ({_SPECIAL})
+    union all select unnest(['splits', 'merges', 'pairs']), 0"""
+)
 def memory_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _columns(spark).memory()
 
@@ -330,11 +390,13 @@ def memory_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ACCENT = "replace(text, 'e', 'e' || chr(769))"
 
 
-@query(f"select doc_id, nfc_normalize({_ACCENT}) <> {_ACCENT} as changed from documents where contains(text, 'e')")
+@query(f"""select doc_id, nfc_normalize(t) <> t as changed
+    from (select doc_id, case when doc_id % 2 = 0 then {_ACCENT} else text end as t from documents)""")
 def nfc_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with every e accented in two code points: all are flagged, and all change."""
-    text = F.replace(F.col("text"), F.lit("e"), F.lit("e\u0301"))
-    return _docs(spark, sf_dir).filter(F.contains("text", F.lit("e"))).select("doc_id", _columns(spark).unnormalized(text).alias("changed"))
+    """Every second text has its e accented in two code points; the others are composed."""
+    accented = F.replace(F.col("text"), F.lit("e"), F.lit("e\u0301"))
+    text = F.when(F.col("doc_id") % 2 == 0, accented).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", _columns(spark).unnormalized(text).alias("changed"))
 
 
 @query(
@@ -485,7 +547,7 @@ def piece_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "text")
+    rows = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "text"))
     counted = rows.select("conv_id", _columns(spark).count(F.col("text")).cast("long").alias("k"))
     return counted.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum("k").alias("n_tokens"))
 
@@ -497,7 +559,7 @@ def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def page_html_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
     return pages.select("page_id", _columns(spark).count(F.col("html")).cast("long").alias("n_tokens"))
 
 

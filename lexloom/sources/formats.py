@@ -92,15 +92,20 @@ def parse_vocab(data: bytes) -> Vocabulary:
         tokens[rank] = token
         order.append(rank)
     out = Vocabulary(tokens)
-    while c.at < len(data):
-        tag = c.take(4)
-        if tag == b"SPL1":
-            out.splits = {rank: left for rank, left in enumerate(c.take(count))}
-        elif tag == b"MRG1":
-            merges = [c.number("<I") for _ in range(c.number("<I"))]
-            out.merges = [(m & 0xFFFFFF, m >> 24) for m in merges]
-        else:
-            raise VocabularyError(f"unknown section {tag!r}")
+    # Sections come once each and in this order; merges alone say nothing.
+    if c.at < len(data):
+        if (tag := c.take(4)) != b"SPL1":
+            raise VocabularyError(f"section {tag!r} where the splits belong")
+        out.splits = {rank: left for rank, left in enumerate(c.take(count))}
+    if c.at < len(data):
+        if (tag := c.take(4)) != b"MRG1":
+            raise VocabularyError(f"section {tag!r} where the merges belong")
+        merges = [c.number("<I") for _ in range(c.number("<I"))]
+        out.merges = [(m & 0xFFFFFF, m >> 24) for m in merges]
+        if any(made >= count for made, _ in out.merges):
+            raise VocabularyError("a merge makes an unknown token")
+    if c.at < len(data):
+        raise VocabularyError(f"{len(data) - c.at} bytes after the last section")
     if out.merges is None and out.splits and START_SYMBOL in out.splits.values():
         raise VocabularyError("starting symbols need a merge list")
     for rank, left in (out.splits or {}).items():

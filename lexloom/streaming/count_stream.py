@@ -21,7 +21,9 @@ def transform(rows: DataFrame, columns: Columns, text: str = "text") -> DataFram
 
 def shared_folder(spark: SparkSession) -> str:
     """Where the stream's log and files go: the folder all executors share."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(named or 'file://' + tempfile.mkdtemp(prefix='lexloom-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -29,8 +31,9 @@ def counted(spark: SparkSession, sf_dir: str, columns: Columns) -> DataFrame:
     """doc_id, n_tokens of all documents that are there now, through a stream."""
     path = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(path).schema
-    # A file source takes folders and patterns; one that ends in * takes a file or a folder.
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{path}*").select("doc_id", "text")
+    # A file source takes folders and patterns; [t] makes a pattern that only this name,
+    # a file's or a folder's, matches.
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{path[:-1]}[t]").select("doc_id", "text")
     folder = shared_folder(spark)
     stream = (
         transform(rows, columns)

@@ -39,3 +39,18 @@ def test_composed_and_decomposed_texts_count_alike(encoding):
 def test_unknown_encodings(encoding):
     with pytest.raises(KeyError):
         api.batch_count(["a"], "gpt-4o")
+
+
+def test_the_estimate_by_its_name(spark, encoding):
+    some = texts(60, 33)
+    got = api.batch_count(some, "estimate", reference=encoding)
+    assert got == api.batch_count(some, "estimate", reference=encoding, spark=spark) and api.batch_count([], "estimate", reference=encoding) == []
+    cuts = api.batch_truncate(some, 9, "estimate", reference=encoding)
+    assert cuts == api.batch_truncate(some, 9, "estimate", reference=encoding, spark=spark)
+    for text, total, (kept, said) in zip(some, got, cuts):
+        assert said == total and text.startswith(kept) and (kept == text) == (total <= 9)
+    text = "nothing to cut here"
+    assert api.truncate(text, 1000, "estimate", reference=encoding)[0] is text
+    for call in (lambda: api.batch_count(["a"], "estimate"), lambda: plans.load("estimate", "x")):
+        with pytest.raises(KeyError):
+            call()

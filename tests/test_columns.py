@@ -85,34 +85,21 @@ def test_partitions_do_not_change_results(columns, rows):
     assert sorted(few.collect(), key=str) == sorted(many.collect(), key=str)
 
 
-def class_by_rules(p):
-    """The classes of ASCII pieces, from their description."""
-    letters = [c for c in p if c.isalpha()]
-    if p.isspace():
-        return "newline" if set(p) & set("\r\n") else "space"
-    if len(p) == 1 and p.isdigit():
-        return "digit"
-    if not letters:
-        return "punct"
-    if p[0] == "'" and len(p) <= 3:
-        return "contr"
-    if any(p[k].isalpha() and p[k : k + 9] == p[k] * 9 for k in range(len(p))):
-        return "run"
-    upper = sum(c.isupper() for c in letters)
-    if not upper:
-        return "lower"
-    if upper == len(letters):
-        return "upper" if upper > 1 else "cap"
-    return "cap" if letters[0].isupper() and upper == 1 else "camel"
+#: Pieces and their classes, written by hand.
+CLASSED = {
+    "newline": ["\n", "\r\n", " \n\n", "\t\n"], "space": [" ", "   ", "\t\t", "\u00a0"], "digit": ["0", "7", "²"],
+    "punct": ["...", " ---", " (", "=", "__", "!?\n", "$"], "contr": ["'s", "'LL", "'ve"],
+    "run": ["aaaaaaaaa", " zzzzzzzzzzzz", "helloooooooooo"], "lower": ["hello", " world", "_init", "(x"],
+    "upper": ["HTTP", " AB", "_NO"], "cap": ["A", " Hello", "_X", "(World"], "camel": ["getValue", " HTTPServer", "aB", "iPhone"],
+    "latinx": ["é", " naïve", "Über"], "cjk": ["日本", "漢"], "cyr": ["Ж", " привет"], "astral": ["😀", "𝒳"],
+    "hangul": ["가"], "fullwidth": ["ＡＢ"], "greek": ["αβ"], "heb": ["שלום"], "arab": ["سلام"], "thai": ["ไทย"],
+}
 
 
 def test_classes(spark):
-    text = "Hello world, getValue HTTPServer I'm it'S 42 x=1;\n\t\tfoo_bar __init__ aaaaaaaaaaaa A B ... --- \r\n (x) 'll 'LL #include $x"
-    pieces = grammar.grammar("qwen").split(text) + ["日本", "é", "Ж", "😀", "가", "ＡＢ", " "]
-    named = spark.createDataFrame([(p,) for p in pieces], "p string").select("p", estimate.classify(F.col("p")).alias("c")).collect()
-    got = {r.p: r.c for r in named}
-    assert all(got[p] == class_by_rules(p) for p in pieces if p.isascii())
-    assert [got[p] for p in pieces[-7:]] == ["cjk", "latinx", "cyr", "astral", "hangul", "fullwidth", "space"]
+    rows = [(p, c) for c, pieces in CLASSED.items() for p in pieces]
+    named = spark.createDataFrame(rows, "p string, want string").select("p", "want", estimate.classify(F.col("p")).alias("c")).collect()
+    assert not [r for r in named if r.c != r.want]
 
 
 def test_classes_of_any_pieces(spark):
@@ -135,6 +122,39 @@ def test_estimates(columns, rows):
         assert (r.t.text == text) == (r.t.total <= 50)
 
 
+def test_estimate_is_cut_at_the_last_piece_that_fits(columns):
+    counters = estimate.Counters(columns.encoding)
+    for text in [t for t in texts(120, 40) if t] + ["one two three " * 30]:
+        for most in (0, 3, 7, 20, 60):
+            cut = counters.truncate(text, most)
+            if counters.count(text) <= most:
+                assert cut["text"] == text
+                continue
+            ends, at = [0], 0
+            for piece in counters.split(text):
+                at += len(piece)
+                ends.append(at)
+            fits = [e for e in ends if counters.count(text[:e]) <= most]
+            assert len(cut["text"]) in ends and cut["kept"] <= most and len(cut["text"]) <= max(fits)
+
+
+def test_rows_with_one_key_are_decoded_apart(spark, columns):
+    e = columns.encoding
+    some = [(1, "first text"), (1, "second"), (None, "no key"), (2, "")]
+    rows = spark.createDataFrame([(k, e.encode_ordinary(t)) for k, t in some], "k int, ids array<int>").repartition(3)
+    got = columns.decode_rows(rows, "k", "ids").collect()
+    assert sorted(((r.k, bytes(r.data).decode()) for r in got), key=str) == sorted(some, key=str)
+
+
+def test_few_partitions_are_spread(spark):
+    from lexloom.functions.columns import spread
+
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(100).repartition(9)
+    assert spread(many) is many
+
+
 def test_streams_count_as_batches_do(spark, columns):
     if not os.path.isdir(SMALL):
         pytest.skip("no test data")

@@ -11,6 +11,7 @@ from lexloom.sources import formats
 tiktoken = pytest.importorskip("tiktoken")
 public = pytest.importorskip("public_tokenizers")
 
+# The published split patterns.
 PATTERNS = {
     "cl100k": r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s",
     "o200k": "|".join(
@@ -24,7 +25,7 @@ PATTERNS = {
 }
 ALPHABET = [
     " ", "  ", "\n", "\r\n", "a", "B", "é", "É", ".", "'s", "'S", "'LL", "1", "23", "\x1c", "\xa0", "\t", "日", "́", "/",
-    "œ", "😀", "ÿ", "\x85", "ª", "ß", "!!", "亚洲AV", "aaaaaaaaaaaaa", "²", "ﬁ", "हिन्दी", "<|endoftext|>",
+    "œ", "😀", "ÿ", "\x85", "ª", "ß", "!!", "東京OK", "aaaaaaaaaaaaa", "²", "ﬁ", "हिन्दी", "<|endoftext|>",
 ]
 SPECIALS = [("<|endoftext|>", 50256), ("<|im_start|>", 50257), ("<|im_end|>", 50258)]
 
@@ -73,7 +74,7 @@ def test_marks_join_letters():
 def test_cl100k_takes_trailing_white_space_whole():
     assert GRAMMARS["cl100k"].split("a \n ") == ["a", " \n "]
     assert GRAMMARS["qwen"].split("a \n ") == ["a", " \n", " "]
-    assert GRAMMARS["o200k"].split("亚洲AV") == ["亚洲", "AV"]
+    assert GRAMMARS["o200k"].split("東京OK") == ["東京", "OK"]
 
 
 def test_heap_and_scan_agree(ranks):
@@ -104,6 +105,19 @@ def test_bytes_without_loss(vocabulary):
     assert e.encode_bytes("é!".encode()) == e.encode_ordinary("é!")
 
 
+def test_malformed_bytes_are_read_by_their_lead_bytes(vocabulary):
+    """Pieces of bytes that aren't UTF-8, written by hand: a lead byte takes as many bytes
+    as it promises, any other byte is the character of its number."""
+    e = Encoding("x", vocabulary, "cl100k")
+    for data, pieces in (
+        (b"\xff\xc3Top", [b"\xff\xc3Top"]),  # two letters of Latin-1, then letters
+        (b"ab \x80cd", [b"ab", b" \x80", b"cd"]),  # a control is no letter
+        (b"\xe4\xb8", [b"\xe4", b"\xb8"]),  # too short: a letter and a sign
+        (b"1\xc2\xb2\xb22", [b"1\xc2\xb2\xb2", b"2"]),  # digits in threes
+    ):
+        assert e.encode_bytes(data) == [i for p in pieces for i in e.merge(p)], data
+
+
 def test_decode_policies(vocabulary):
     e = Encoding("x", vocabulary, "cl100k")
     ids = [e.ids[b"\xc3"]] + e.encode_ordinary("a�b")
@@ -146,3 +160,31 @@ def test_memos_of_two_encodings_are_apart(vocabulary, ranks):
     a, b = Encoding("x", vocabulary, "cl100k"), Encoding("x", other, "cl100k")
     assert a.fingerprint != b.fingerprint
     assert b.encode_ordinary("hello hello") == list(b"hello hello") != a.encode_ordinary("hello hello")
+
+
+def test_cached_encodings_differ_by_grammar(tmp_path):
+    from lexloom.operators import registry
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    one, two = registry.load("own", path, "cl100k"), registry.load("own", path, "o200k")
+    assert one is not two and one is registry.load("own", path, "cl100k") and two.grammar_name == "o200k"
+
+
+def test_other_names_for_known_encodings():
+    from lexloom.operators import registry
+
+    registry.alias("my-encoding", "qwen-marks")
+    e = registry.load("my-encoding", public.path("byte_bpe_50k.tiktoken"))
+    assert e.grammar_name == "qwen_marks" and e.nfc and "my-encoding" in registry.names()
+    with pytest.raises(KeyError):
+        registry.alias("other", "nothing")
+
+
+def test_special_ties_and_subsets(vocabulary):
+    v = formats.Vocabulary(vocabulary.tokens, specials=[("<a>", 50300), ("<a><b>", 50301), ("<b>", 50302)])
+    e = Encoding("x", v, "cl100k")
+    assert e.encode("<a><b>", allowed_special="all") == [50300, 50302]  # the first listed of equal starts
+    assert e.encode("<a><b>", allowed_special={"<a><b>"}, disallowed_special=()) == [50301]
+    assert e.encode("x<b><a>", allowed_special={"<b>"}, disallowed_special=())[:2] == [*e.encode_ordinary("x"), 50302]
+    with pytest.raises(ValueError, match="<a>"):
+        e.encode("x<b><a>", allowed_special={"<b>"})
