@@ -9,10 +9,26 @@ a token falls back to its bytes). In each the leftmost of equal merges is first.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
+#: A rank that no token has: these neighbours never merge.
+_NEVER = 1 << 40
 Pairs = dict[tuple[int, int], tuple[int, int]]
 
 
+def rank_merger(ranks: dict[bytes, int]) -> Callable[[bytes], list[int]]:
+    """merge_ranks over one vocabulary. Short pieces of a vocabulary that has every byte go
+    to tiktoken's compiled merge where that is installed; it gives the same ids."""
+    try:
+        from tiktoken import _tiktoken
+    except ImportError:
+        return lambda piece: merge_ranks(piece, ranks)
+    if any(bytes([b]) not in ranks for b in range(256)) or len(set(ranks.values())) < len(ranks):
+        return lambda piece: merge_ranks(piece, ranks)
+    quick = _tiktoken.CoreBPE(ranks, {}, ".").encode_single_piece
+    return lambda piece: quick(piece) if len(piece) <= 64 else merge_ranks(piece, ranks)
+
+
 def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a piece under a rank vocabulary."""
     whole = ranks.get(piece)
@@ -20,21 +36,21 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     if len(piece) > 64:
         return _merge_ranks_heap(piece, ranks)
-    parts = [piece[k : k + 1] for k in range(len(piece))]
-    weights = [ranks.get(piece[k : k + 2]) for k in range(len(piece) - 1)]
-    while True:
-        best, at = None, -1
-        for k, w in enumerate(weights):
-            if w is not None and (best is None or w < best):
-                best, at = w, k
-        if best is None:
-            return [ranks[p] for p in parts]
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        del weights[at]
+    known, last = ranks.get, len(piece)
+    # Borders of the parts, and the rank of each two neighbours' joined bytes.
+    borders = list(range(last + 1))
+    weights = [known(piece[k : k + 2], _NEVER) for k in range(last - 1)]
+    while weights:
+        best = min(weights)
+        if best == _NEVER:
+            break
+        at = weights.index(best)
+        del borders[at + 1], weights[at]
         if at < len(weights):
-            weights[at] = ranks.get(parts[at] + parts[at + 1])
+            weights[at] = known(piece[borders[at] : borders[at + 2]], _NEVER)
         if at:
-            weights[at - 1] = ranks.get(parts[at - 1] + parts[at])
+            weights[at - 1] = known(piece[borders[at - 1] : borders[at + 1]], _NEVER)
+    return [ranks[piece[a:b]] for a, b in zip(borders, borders[1:])]
 
 
 def _merge_ranks_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:

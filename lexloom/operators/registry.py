@@ -111,9 +111,13 @@ class Encoding:
 
     # encoding
 
+    @cached_property
+    def _rank_merger(self):
+        return kernel.rank_merger(self.ranks)
+
     def merge(self, piece: bytes) -> list[int]:
         if self.ranks is not None:
-            return kernel.merge_ranks(piece, self.ranks)
+            return self._rank_merger(piece)
         return kernel.merge_pairs(kernel.start_symbols(piece, self.singles, self.by_character), self.pairs)
 
     def _learn(self, pieces: list[str]) -> tuple[dict, dict]:

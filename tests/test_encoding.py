@@ -85,6 +85,17 @@ def test_heap_and_scan_agree(ranks):
             assert kernel._merge_ranks_heap(piece, ranks) == kernel.merge_ranks(piece, ranks)
 
 
+def test_the_compiled_merge_and_the_own_one_agree(ranks, monkeypatch):
+    import sys
+
+    merge, rng = kernel.rank_merger(ranks), random.Random(14)
+    pieces = [bytes(rng.choice(b"abcdeinrst \xc3\xa9") for _ in range(rng.randint(1, 90))) for _ in range(2000)]
+    assert all(merge(p) == kernel.merge_ranks(p, ranks) for p in pieces)
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    assert kernel.rank_merger(ranks)(b"hello there") == merge(b"hello there")
+    assert kernel.rank_merger({b"a": 0, b"b": 1, b"ab": 2})(b"abba") == [2, 1, 0]
+
+
 def test_special_policies(vocabulary):
     e = Encoding("x", vocabulary, "cl100k")
     with pytest.raises(ValueError):
