@@ -48,8 +48,15 @@ DECAY = 0.6
 WIDTH = 24
 NEGATIVES, HARD = 6_000, 1_500
 ROUNDS = 4
-#: Standard deviations above chance from which a word is surely positive, or no negative.
-SURE, DOUBTFUL = 4.0, 2.0
+#: Standard deviations above chance from which a word is surely positive, may be positive
+#: where its text has no better one, or is no negative: of n texts that hold a word, all
+#: toxic by chance (as copies of one text are), sqrt(n) is reached where labels are even.
+SURE, LIKELY, DOUBTFUL = 5.0, 3.5, 2.0
+#: Times as large a share of toxic texts as of others must hold a word for either: words of
+#: a language, or of long texts, that happen to be in more toxic texts stay below it.
+LIFT = 4.0
+#: Words of a text that stand out, on average over a word's toxic texts, at most.
+CROWD = 20
 RIDGE = 1e-4
 MEMO_TOKENS = 600_000
 #: Entries of a table of triples that is indexed directly; a larger one is searched.
@@ -220,7 +227,9 @@ class Machine:
                 pick = all_picks[low : low + step]
                 at = np.array([[self.letter.get(c, 0) for c in bounded(words[p])] for p in pick], number)
                 out[pick] = self.weigh((at[:, i] * self.size + at[:, j]) * self.size + at[:, k]) @ reach
-        return np.maximum(out / own + self.bias, LOWEST)
+        # A word of fewer letters than a subsequence has says nothing but where it ends.
+        short = np.array([len(w) < ORDER for w in words], bool)
+        return np.where(short, LOWEST, np.maximum(out / own + self.bias, LOWEST))
 
     def chance(self, rating: float) -> float:
         return float(1 / (1 + np.exp(-(self.slope * rating + self.shift))))
@@ -243,13 +252,12 @@ class Machine:
             return None
         every = sorted({w for _, words in sets for w in words})
         at = {w: k for k, w in enumerate(every)}
-        # How far above chance, in standard deviations, a word's texts are toxic.
-        share = n_bad / (n_bad + n_good)
         toxic_in, all_in = (np.array([c[w] for w in every]) for c in (bad, good + bad))
-        above = (toxic_in - all_in * share) / np.sqrt(all_in * share * (1 - share))
         long_enough = np.array([len(w) >= ORDER for w in every])
+        above = _above(sets, at, toxic_in, all_in)
+        sure = np.flatnonzero((above >= SURE) & (toxic_in >= 3) & long_enough).tolist()
         order = np.lexsort((np.arange(len(every)), -above))
-        top = [every[k] for k in order if toxic_in[k] >= 2 and long_enough[k]][:LANDMARKS_TOXIC]
+        top = [every[k] for k in order if toxic_in[k] >= 2 and long_enough[k] and above[k] >= LIKELY][:LANDMARKS_TOXIC]
         top = top or [every[k] for k in order[:LANDMARKS_TOXIC] if toxic_in[k]]
         calm = [k for k in range(len(every)) if good[every[k]] and above[k] < DOUBTFUL]
         if not calm:
@@ -272,14 +280,14 @@ class Machine:
                 known.update(zip(new, net.vectors([every[k] for k in new])))
             return np.stack([known[k] for k in picks])
 
-        sure = np.flatnonzero((above >= SURE) & (toxic_in >= 3) & long_enough)
         negative = set(rng.choice(calm, min(len(calm), NEGATIVES), replace=False).tolist())
         guess, calm = above.copy(), np.array(calm)
         for _ in range(ROUNDS):
             chosen = [max((at[w] for w in words), key=lambda k: guess[k]) for y, words in sets if y and words]
             # Single words of wrongly labelled texts stand no further above chance than others.
-            hits = Counter(k for k in chosen if above[k] >= DOUBTFUL and long_enough[k])
-            hits.update(sure.tolist())
+            hits = Counter(k for k in chosen if above[k] >= LIKELY and long_enough[k])
+            for k in sure:  # an insult that mostly stands beside a worse one weighs too
+                hits[k] = max(hits[k], int(toxic_in[k]) // 4, 1)
             strong = sorted(hits) or sorted(set(chosen))
             hits.update(strong)
             spoilt = net.vectors([_spoil(every[k], rng) for k in strong for _ in range(3)])
@@ -288,7 +296,9 @@ class Machine:
             y = np.r_[np.ones(len(strong) + len(spoilt)), -np.ones(len(taken))]
             counts = np.sqrt([hits[k] for k in strong])
             heavy = np.r_[counts / counts.sum(), 0.3 * np.repeat(counts, 3) / counts.sum() / 3]
-            heavy = np.r_[heavy, np.full(len(taken), 4.0 / len(taken))]
+            # A word of many clean texts would flag them all: it weighs by their number.
+            clean = np.sqrt([good[every[k]] for k in taken])
+            heavy = np.r_[heavy, 4.0 * clean / clean.sum()]
             net.weights, net.bias = _squared_hinge(data, y, heavy)
             net.compress()
             guess = net.rate(every)
@@ -298,6 +308,26 @@ class Machine:
         return net
 
 
+def _above(sets, at, toxic_in, all_in) -> np.ndarray:
+    """How far above chance, in standard deviations, each word's texts are toxic.
+
+    Where very many words of a text stand out (those of one source, say), each says
+    little: words whose toxic texts hold more than CROWD such words fall to chance.
+    """
+    label = np.array([y for y, _ in sets])
+    n_bad, n_good = int((label == 1).sum()), int((label == 0).sum())
+    share = n_bad / (n_bad + n_good)
+    above = (toxic_in - all_in * share) / np.sqrt(all_in * share * (1 - share))
+    above = np.where(toxic_in / n_bad >= LIFT * (all_in - toxic_in) / n_good, above, np.minimum(above, 0.0))
+    own = [np.array([at[w] for w in words], np.int64) if y else np.empty(0, np.int64) for y, words in sets]
+    flat, text = np.concatenate(own), np.repeat(np.arange(len(own)), [len(o) for o in own])
+    out = above[flat] >= LIKELY
+    flat, text = flat[out], text[out]
+    crowd = np.bincount(text, minlength=len(own))
+    alone = np.bincount(flat, weights=1 / crowd[text], minlength=len(above)) / np.maximum(toxic_in, 1)
+    return np.where((above >= LIKELY) & (alone * CROWD < 1), 0.0, above)
+
+
 def _distinct(sets: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
     """Bags without near copies of earlier ones of their label: copies of one wrongly
     labelled text would look like many. By 64 minima of hashed words."""

@@ -147,9 +147,10 @@ def toxic_bags():
 
 def test_the_table_of_triples_is_the_machine():
     machine = string_kernel.Machine.train(toxic_bags())
-    words = ["idiot", "idxiot", "fox", "hills", "a", "zzzzqqq", "worthlesss"]
+    words = ["idiot", "idxiot", "fox", "hills", "zzzzqqq", "worthlesss"]
     want = machine.vectors(words) @ machine.weights + machine.bias
     assert np.allclose(machine.rate(words), np.maximum(want, string_kernel.LOWEST), atol=1e-3)
+    assert machine.rate(["a", "lo"]).tolist() == [string_kernel.LOWEST] * 2
 
 
 def test_words_of_any_alphabet_are_weighed_alike(monkeypatch):
