@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import hashlib
 import pickle
@@ -11,6 +12,7 @@ import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -27,14 +29,31 @@ def worker_memo(key: Hashable, make: Callable[[], Any]) -> Any:
         if _SLOT:
             _SLOT.clear()
             gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library keeps freed memory itself
-                pass
+            release()
         _SLOT[key] = make()
     return _SLOT[key]
 
 
+def release() -> None:
+    """Give the memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps freed memory itself
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of batches that gives freed memory back when its task ends."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def digest_of(value: Any) -> str:
     """A name for a model, by its content."""
     return hashlib.sha256(pickle.dumps(value)).hexdigest()

@@ -69,8 +69,9 @@ GROUP_MOST = 4096
 SKETCH_BITS, SKETCH_LEAST = 2, 64
 #: Classes that are compared with a pivot in one place.
 PER_PIVOT = 512
-#: Words whose hash a worker keeps, and classes a task remembers to have emitted.
-MEMO_WORDS = 500_000
+#: Words whose hash a worker keeps (about 400 bytes each), and classes a task remembers
+#: to have emitted.
+MEMO_WORDS, MEMO_CLASSES = 60_000, 500_000
 
 _U = np.uint64
 # Fixed odd multipliers of the public SplitMix64 mixer.
@@ -251,7 +252,7 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
             )
 
     shape = "doc_id long, place long, n_shingles long, node long, sketch binary"
-    return docs.select("doc_id", "place", "text").mapInArrow(run, shape)
+    return docs.select("doc_id", "place", "text").mapInArrow(common.tidy(run), shape)
 
 
 def _groups(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
@@ -266,7 +267,7 @@ def _groups(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
                 node = identity(grams)
                 if node < 0 or node in seen:
                     continue
-                if len(seen) < MEMO_WORDS:
+                if len(seen) < MEMO_CLASSES:
                     seen.add(node)
                 found = keys(grams, rule)
                 all_keys.append(found)
@@ -300,8 +301,8 @@ def _groups(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
             [pa.array(np.repeat(names, sizes)[rows]), pa.array(node[rows])], names=["key", "node"]
         )
 
-    emitted = docs.select("text").mapInArrow(emit, "key long, node long")
-    return emitted.repartition(parts, "key").mapInArrow(gather, "key long, node long").distinct()
+    emitted = docs.select("text").mapInArrow(common.tidy(emit), "key long, node long")
+    return emitted.repartition(parts, "key").mapInArrow(common.tidy(gather), "key long, node long").distinct()
 
 
 def _forest(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
@@ -360,7 +361,7 @@ def _forest(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
 
     parts = common.partitions(members.sparkSession)
     once = members.select("place", "other", "node", "label", "n_shingles", "sketch").repartition(parts, "place", "other")
-    return once.sortWithinPartitions("place", "other", "node").mapInArrow(run, "place long, pivot long, node long")
+    return once.sortWithinPartitions("place", "other", "node").mapInArrow(common.tidy(run), "place long, pivot long, node long")
 
 
 def _with_end(batches):
@@ -428,7 +429,7 @@ def _verify(pairs: DataFrame, named: DataFrame, docs: DataFrame, rule: Rule) ->
         nameless = docs.filter("doc_id is null").groupBy("place").agg(F.min("text").alias("text"))
         rows = rows.unionByName(nameless.join(unknown, "place").select(*picked))
     shape = "node long, pivot long, salt long, part int, grams binary"
-    dealt = rows.mapInArrow(sets, shape).repartition(common.partitions(docs.sparkSession), "pivot", "salt")
+    dealt = rows.mapInArrow(common.tidy(sets), shape).repartition(common.partitions(docs.sparkSession), "pivot", "salt")
     found = dealt.sortWithinPartitions("pivot", "salt", "part").mapInArrow(compare, "pivot long, node long")
     found = common.cut(found, "links")
     common.forget(asked)
