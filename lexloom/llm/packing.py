@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import struct
 import zlib
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,20 +38,30 @@ SCHEMA = (
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+_SUM = itemgetter(0)
+
+
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
     """Divide the items into so many sets of near-equal sum; returns item indexes."""
-    empty = [(0, None)] * (ways - 1)
-    heap = [(-size, k, [(size, k), *empty]) for k, size in enumerate(sizes)]
+    # A row lists its sets that hold items, largest first; the others have a sum of 0.
+    heap = [(-size, k, [(size, k)]) for k, size in enumerate(sizes)]
     heapq.heapify(heap)
     turn = len(heap)
     while len(heap) > 1:
         left, right = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        merged = [
-            (a + b, u if t is None else t if u is None else (t, u)) for (a, t), (b, u) in zip(left, reversed(right))
-        ]
-        merged.sort(key=lambda s: -s[0])
+        right.reverse()
+        both = len(left) + len(right) - ways
+        if both > 0:
+            apart = len(left) - both
+            merged = left[:apart]
+            merged += [(a + b, (t, u)) for (a, t), (b, u) in zip(left[apart:], right)]
+            merged += right[both:]
+        else:
+            merged = left + right
+        merged.sort(key=_SUM, reverse=True)
         turn += 1
-        heapq.heappush(heap, (merged[-1][0] - merged[0][0], turn, merged))
+        least = merged[-1][0] if len(merged) == ways else 0
+        heapq.heappush(heap, (least - merged[0][0], turn, merged))
     out = []
     for _, tree in heap[0][2] if heap else []:
         items, stack = [], [tree]
@@ -61,7 +72,7 @@ def differencing(sizes: list[int], ways: int) -> list[list[int]]:
             elif node is not None:
                 items.append(node)
         out.append(sorted(items))
-    return out
+    return out + [[] for _ in range(ways - len(out))] if out else out
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
