@@ -27,6 +27,9 @@ TRUNCATED = T.StructType(
 )
 #: Encodings whose memos a worker keeps.
 WORKER_MOST = 3
+#: Rows whose results a worker hands over at once: the ids of a whole batch of long texts
+#: are several times its texts.
+ROWS_AT_ONCE = 1000
 _WORKER: dict[str, Encoding] = {}
 _SENT: dict = {}
 
@@ -64,7 +67,9 @@ class Columns:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             each = of(_encoding(sent))
             for batch in batches:
-                yield pd.Series([None if x is None else each(x) for x in batch], dtype=object)
+                for at in range(0, len(batch), ROWS_AT_ONCE):
+                    some = batch.iloc[at : at + ROWS_AT_ONCE]
+                    yield pd.Series([None if x is None else each(x) for x in some], dtype=object)
 
         return F.pandas_udf(run, kind)
 
@@ -180,24 +185,33 @@ class Columns:
         )
         return rows.join(F.broadcast(known), F.col(token) == F.col("_token"), "left").drop("_token")
 
+    def by_id(self) -> DataFrame:
+        """The vocabulary as one row: `near` has each token at its id's place, `far`, searched
+        one by one, the ids so far out that places up to them would mostly be empty. Of a base
+        token and a special one with the same id the base token stands."""
+        tokens = {i: s.encode() for i, s in self.encoding.special_of.items()} | self.encoding.tokens
+        places = range(min(max(tokens, default=-1) + 1, 2 * len(tokens)))
+        far = {i: bytearray(t) for i, t in tokens.items() if i not in places}
+        near = [bytearray(tokens[i]) if i in tokens else None for i in places]
+        row = self.spark.createDataFrame([(near, far)], "near array<binary>, far map<int, binary>")
+        return row.select(F.col("near").cast("array<string>").alias("near"), F.col("far").cast("map<int, string>").alias("far"))
+
     def decode_rows(self, rows: DataFrame, key: str, ids: str) -> DataFrame:
-        """key, data: ids decoded by a join, unknown ids left out.
+        """key, data: ids decoded with the vocabulary as a table, unknown ids left out; null ids give null.
 
-        Ids are grouped by the list they come from, not by the key, so rows that share a
-        key (or have none) stay apart; equal lists are decoded once.
+        Each row meets the whole vocabulary, which is one row, and its ids find their tokens
+        there: no id becomes a row, nothing is shuffled or gathered, and rows that share a
+        key (or have none) stay apart.
         """
-        name = F.unhex(F.sha2(F.array_join(ids, ",").cast("binary"), 256)).alias("list")
-        lists = rows.select(F.col(key).alias("key"), F.col(ids).alias("ids"), name)
-        each = lists.dropDuplicates(["list"]).select("list", F.posexplode("ids").alias("pos", "token_id"))
-        known = F.broadcast(self.every_token().select("token_id", "token"))
-        parts = each.join(known, "token_id").groupBy("list").agg(
-            F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("parts")
-        )
-        data = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["token"]))
-        found = parts.select("list", data.alias("data"))
-        return lists.select("key", "list").join(found, "list", "left").select(
-            F.col("key").alias(key), F.coalesce("data", F.lit(b"")).alias("data")
-        )
+        near, far = (self.by_id().select(part).scalar().alias(part) for part in ("near", "far"))
+        # Catalyst takes no subquery in a lambda as written, so both get names first. Each is
+        # used once, so the two selections become one and the vocabulary is no part of any row.
+        met = rows.select(F.col(key).alias("key"), F.col(ids).alias("ids"), near, far)
+        place = lambda i: i.try_cast("int")  # noqa: E731  an id beyond int is none's
+        token = lambda i: F.coalesce(F.get("near", place(i)), F.element_at("far", place(i)))
+        # Strings here are any bytes; joining them drops the nulls of unknown ids.
+        data = F.array_join(F.transform("ids", token), "").cast("binary")
+        return met.select(F.col("key").alias(key), data.alias("data"))
 
     def facts(self) -> DataFrame:
         """n_vocab, max_token_value, eot_token as one row."""

@@ -184,7 +184,7 @@ def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, text as decoded from documents")
 def decode_join_unknown_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decoding as a join with the vocabulary; an id beyond it, put before each text, says nothing."""
+    """Decoding with the vocabulary as a table; an id beyond it, put before each text, says nothing."""
     c = _columns(spark)
     ids = _docs(spark, sf_dir).select(
         "doc_id", F.concat(F.array(F.lit(250_000)), c.encode(F.col("text"))).alias("ids")

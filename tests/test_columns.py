@@ -146,6 +146,57 @@ def test_rows_with_one_key_are_decoded_apart(spark, columns):
     assert sorted(((r.k, bytes(r.data).decode()) for r in got), key=str) == sorted(some, key=str)
 
 
+def _nodes(node):
+    yield node
+    for k in range(node.children().size()):
+        yield from _nodes(node.children().apply(k))
+
+
+def test_decoding_by_a_join_keeps_each_id_in_its_row(spark, columns):
+    """No rows of ids, nothing shuffled or gathered, texts encoded once, no vocabulary in a row."""
+    rows = spark.range(8).select("id", columns.encode(F.col("id").cast("string")).alias("ids"))
+    some = [columns.decode_rows(rows, "id", "ids")]
+    if os.path.isdir(SMALL):
+        some.append(plans.queries()["decode_join_unknown_ids"](spark, SMALL))
+    for decoded in some:
+        nodes = list(_nodes(decoded._jdf.queryExecution().sparkPlan()))
+        names = [n.nodeName() for n in nodes]
+        assert names.count("ArrowEvalPython") == 1
+        assert not [n for n in names if n.startswith(("Generate", "Sort")) or "Aggregate" in n or "Join" in n]
+        assert not [n for n in nodes if {"near", "far"} & {n.output().apply(k).name() for k in range(n.output().size())}]
+        assert "hashpartitioning" not in decoded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decoding_by_a_join_of_odd_ids(spark):
+    from lexloom.operators.registry import Encoding
+    from lexloom.sources.formats import Vocabulary
+
+    tokens = {0: b"a", 1: b"\xff", 2: b"\xc3", 4: b"", 90_000: b"far", 7: b"both"}
+    specials = [("<|x|>", 5), ("<|far|>", 2**31 - 1), ("<|both|>", 7), ("<|second|>", 5)]
+    e = Encoding("odd", Vocabulary(tokens, specials=specials), "cl100k")
+    lists = [[], [0, 1, 2], [3, 6, -1, 250_000], [4, 0, 4], [5, 7, 90_000, 2**31 - 1, -(2**31)], [0] * 3000, [1, 1, 0]]
+    some = spark.createDataFrame([*enumerate(lists), (100, None), (101, [0, None, 2])], "k int, ids array<int>")
+    got = {r.k: r.data for r in Columns(spark, e).decode_rows(some, "k", "ids").collect()}
+    assert got.pop(100) is None and bytes(got.pop(101)) == b"a\xc3"
+    assert {k: bytes(v) for k, v in got.items()} == {k: e.decode_bytes(x) for k, x in enumerate(lists)}
+    longs = spark.createDataFrame([(0, [0, 2**32, 2**32 + 90_000, 2**63 - 1, 90_000])], "k int, ids array<long>")
+    assert bytes(Columns(spark, e).decode_rows(longs, "k", "ids").first().data) == b"afar"
+
+
+def test_a_worker_hands_over_some_rows_at_once(spark, columns):
+    """In order and complete, whatever the number of rows."""
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("10000", "700"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            rows = spark.range(0, 5003, 1, 2).select("id", F.when(F.col("id") % 7 != 0, F.col("id").cast("string")).alias("t"))
+            got = rows.select("id", "t", columns.encode(F.col("t")).alias("ids")).collect()
+            assert [r.id for r in got] == list(range(5003))
+            assert all(r.ids == (None if r.t is None else columns.encoding.encode_ordinary(r.t)) for r in got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+
+
 def test_few_partitions_are_spread(spark):
     from lexloom.functions.columns import spread
 
